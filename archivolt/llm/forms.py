@@ -57,6 +57,7 @@ def _character_table() -> dict[str, str]:
             table[chr(code)] = " "
         elif kind == "Cf" and code not in VISIBLE_FORMATS or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF:
             table[chr(code)] = ""
+    table |= {c: unicodedata.normalize("NFKC", c) for c in "ำຳ"}
     return table | {chr(code): "" for code in FILLERS}
 
 
