@@ -14,35 +14,38 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one slice holds at most SLICE_ROWS rows and about SLICE_BYTES.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that one slice holds at most ``rows`` rows and about ``size`` bytes.
 
-    One row larger than SLICE_BYTES comes alone: texts are never cut.
+    One row larger than ``size`` comes alone: texts are never cut.
     """
     for batch in batches:
-        pending, at = [(0, batch.num_rows)], 0
+        pending = [(0, batch.num_rows)]
         while pending:
             start, stop = pending.pop()
             if stop <= start:
                 continue
             part = batch.slice(start, stop - start)
-            if stop - start > 1 and (stop - start > SLICE_ROWS or part.nbytes > SLICE_BYTES):
+            if stop - start > 1 and (stop - start > rows or part.nbytes > size):
                 middle = (start + stop) // 2
                 pending += [(middle, stop), (start, middle)]
                 continue
-            at = stop
             yield part
 
 
 def map_slices(
-    df: DataFrame, schema: str | StructType, function: Callable[[pa.RecordBatch], dict[str, Any] | None]
+    df: DataFrame,
+    schema: str | StructType,
+    function: Callable[[pa.RecordBatch], dict[str, Any] | None],
+    rows: int = SLICE_ROWS,
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply ``function`` to slices of ``df``; it returns column values by output name."""
     made = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     target = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, rows, size):
             columns = function(part)
             if columns is not None:
                 yield record_batch(columns, target)
