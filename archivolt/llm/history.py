@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.arrow import int_lists, map_slices
 from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, shingle_hashes, verified
-from archivolt.workspace import new_path, settle
+from archivolt.workspace import BROADCAST_BYTES, new_path, settle
 
 #: One shingle of so many, by its hash, is a token.
 TOKEN_SHARE = 8
@@ -121,10 +122,18 @@ class History:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.postings = f"postings_{uuid.uuid4().hex}"
         self.postings_path = new_path(spark, "postings")
-        self.accepted: DataFrame | None = None
+        self.paths: list[str] = []
         self.counts: np.ndarray | None = None
 
-    def _prepare(self, batch: DataFrame) -> DataFrame:
+    @property
+    def accepted(self) -> DataFrame | None:
+        """(rec_no, id, h, n, prefix, text) of every accepted row."""
+        if not self.paths:
+            return None
+        return self.spark.read.schema("rec_no bigint, id string, h bigint, n bigint, prefix array<bigint>, text string").parquet(*self.paths)
+
+    def prepare(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch, ready to be checked; of the history only the order of tokens is needed."""
         if self.counts is None:  # at most 2 ** COUNT_BITS rows
             from archivolt.llm.shingles import comparable_texts
 
@@ -137,21 +146,21 @@ class History:
         columns = [F.col("rec_no").cast("bigint"), "id", "saved_at", "title", "content"]
         return settle(map_slices(batch.select(*columns), schema, _Rows(self.counts, self.least)), "batch")
 
-    def check(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(accepted rows, rec_no of the others) of a batch.
+    def check(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(accepted rows, rec_no of the others) of a prepared batch.
 
         Rows come in order of the instant of saved_at (none last), then of rec_no. A row is
         accepted unless an accepted row of this or an earlier batch has its id (null equals
         nothing) or a text similar to its own.
         """
-        rows = self._prepare(batch)
         texts = rows.filter(F.col("text").isNotNull()).dropDuplicates(["h"]).select("h", "n", "prefix", "text")
         probes = texts.select(F.explode("prefix").alias("token"), "h", "n")
         compatible = F.least("n", "m") >= F.ceil(F.lit(TOKEN_THRESHOLD) * F.greatest("n", "m"))
         mine = probes.select("token", F.col("h").alias("g"), F.col("n").alias("m"))
         inner = probes.join(mine, "token").filter((F.col("h") < F.col("g")) & compatible).select("h", "g", F.lit(False).alias("old"))
-        if self.accepted is None:
-            found, old_texts = inner, None
+        past = self.accepted
+        if past is None:
+            found = inner
         else:
             index = self.spark.table(self.postings)
             outer = probes.join(index, "token").filter(compatible).select("h", "g", F.lit(True).alias("old"))
@@ -159,28 +168,29 @@ class History:
         found = settle(found.distinct(), "found")
         pairs = found.join(texts.select("h", F.col("text").alias("_text_a")), "h")
         new = pairs.filter("not old").join(texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g")
-        if self.accepted is not None:
+        if past is not None:
             wanted = found.filter("old").select(F.col("g").alias("h")).distinct()
-            few = wanted.count() * 8 <= (1 << 23)
-            old_texts = self.accepted.filter(F.col("text").isNotNull()).join(F.broadcast(wanted) if few else wanted, "h", "left_semi")
+            old_texts = past.filter("text is not null").select("h", "text").join(_small(wanted, 8), "h", "left_semi")
             new = new.unionByName(pairs.filter("old").join(old_texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g"))
         links = settle(verified(new, ["h", "g", "old"], self.threshold), "links")
         order = F.struct(F.col("t").isNull().alias("late"), F.coalesce("t", F.lit(0)).alias("t"), "rec_no")
         open_rows = rows.select("rec_no", "id", "h", order.alias("ord"))
-        if self.accepted is not None:
+        if past is not None:
             open_rows = (
-                open_rows.join(self.accepted.select("id").filter("id is not null").distinct(), "id", "left_anti")
-                .join(self.accepted.select("h").filter("h is not null"), "h", "left_anti")
-                .join(links.filter("old").select("h").distinct(), "h", "left_anti")
+                open_rows.join(past.filter("id is not null").select("id"), "id", "left_anti")
+                .join(past.filter("h is not null").select("h").unionByName(links.filter("old").select("h")), "h", "left_anti")
             )
-        accepted = _in_order(settle(open_rows, "open"), links.filter("not old").select("h", "g"))
+        accepted = _in_order(open_rows, links.filter("not old").select("h", "g"))
         taken = rows.select("rec_no", "id", "h").join(accepted, "rec_no", "left_semi")
-        taken = settle(taken.join(texts, "h", "left").select("rec_no", "id", "h", "n", "prefix", "text"), "accepted")
-        return taken, rows.select("rec_no").join(accepted, "rec_no", "left_anti")
+        path = new_path(self.spark, "accepted")
+        taken.join(texts, "h", "left").select("rec_no", "id", "h", "n", "prefix", "text").write.option("compression", "zstd").parquet(path)
+        taken = self.spark.read.schema("rec_no bigint, id string, h bigint, n bigint, prefix array<bigint>, text string").parquet(path)
+        self.checked = path
+        return taken, rows.select("rec_no").join(taken.select("rec_no"), "rec_no", "left_anti")
 
     def append(self, taken: DataFrame) -> None:
-        """Take accepted rows into the history."""
-        self.accepted = taken if self.accepted is None else self.accepted.unionByName(taken)
+        """Take the accepted rows of the batch last checked into the history."""
+        self.paths.append(self.checked)
         postings = taken.filter("h is not null").select(F.explode("prefix").alias("token"), F.col("h").alias("g"), F.col("n").alias("m"))
         (
             postings.repartition(self.buckets, "token")
@@ -202,8 +212,7 @@ def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
     In each round a row is accepted if it comes first among the open rows of its id, of its
     text and of all linked texts; rows an accepted one excludes are closed.
     """
-    both = links.unionByName(links.select(F.col("g").alias("h"), F.col("h").alias("g")))
-    both = settle(both.distinct(), "both")
+    both = links.unionByName(links.select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct()
     accepted = None
     while True:
         ids = rows.filter("id is not null").groupBy("id").agg(F.min("ord").alias("_id"))
@@ -215,18 +224,25 @@ def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
             & (F.col("_h").isNull() | (F.col("ord") == F.col("_h")))
             & (F.col("_g").isNull() | (F.col("ord") < F.col("_g")))
         )
-        taken = settle(ranked.filter(first).select("rec_no", "id", "h"), "taken")
+        decided = settle(ranked.select("rec_no", "id", "h", "ord", first.alias("first")), "decided")
+        taken = decided.filter("first")
         accepted = taken.select("rec_no") if accepted is None else accepted.unionByName(taken.select("rec_no"))
         closed = taken.filter("h is not null").select("h")
-        closed = closed.unionByName(closed.withColumnRenamed("h", "g").join(both, "g").select("h")).distinct()
+        closed = closed.unionByName(closed.withColumnRenamed("h", "g").join(both, "g").select("h"))
         rows = (
-            rows.join(taken.select("rec_no"), "rec_no", "left_anti")
+            decided.filter("not first")
+            .select("rec_no", "id", "h", "ord")
             .join(taken.filter("id is not null").select("id"), "id", "left_anti")
             .join(closed, "h", "left_anti")
         )
-        rows = settle(rows.select("rec_no", "id", "h", "ord"), "open")
         if rows.isEmpty():
             return accepted
+        rows = settle(rows, "open")
+
+
+def _small(df: DataFrame, width: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows times ``width`` bytes allow it."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 def rejected(articles: DataFrame) -> DataFrame:
@@ -234,11 +250,16 @@ def rejected(articles: DataFrame) -> DataFrame:
     spark = articles.sparkSession
     history, made = History(spark), None
     batches = sorted((r[0] for r in articles.select("batch_no").distinct().collect()), key=lambda b: (b is None, b))
-    for batch_no in batches:
-        taken, others = history.check(articles.filter(F.col("batch_no").eqNullSafe(F.lit(batch_no))))
-        made = others if made is None else made.unionByName(others)
-        if batch_no != batches[-1]:
-            history.append(taken)
+    parts = [articles.filter(F.col("batch_no").eqNullSafe(F.lit(b))) for b in batches]
+    with ThreadPoolExecutor(1) as ahead:  # the next batch is prepared while one is checked
+        rows = ahead.submit(history.prepare, parts[0]) if parts else None
+        for k in range(len(parts)):
+            current = rows.result()
+            rows = ahead.submit(history.prepare, parts[k + 1]) if k + 1 < len(parts) else None
+            taken, others = history.check(current)
+            made = others if made is None else made.unionByName(others)
+            if rows is not None:
+                history.append(taken)
     if made is None:
         return articles.select("rec_no").limit(0)
     made = settle(made, "rejected")
