@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm.arrow import int_lists, map_slices
+from archivolt.llm.arrow import bounded_sample, int_lists, map_slices
 from archivolt.llm.forms import IGNORABLE, UNSETTLED, UNSURE, consistent_form
 
 #: Bound of the training sample: rows with the least hash of key and text.
@@ -383,14 +383,7 @@ class Splitter:
 
 def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> SentenceModel:
     """Train on at most ``rows`` rows of ``df``, those with the least hash of key and text."""
-    sample = (
-        df.select(key, text)
-        .filter(F.length(text) > 0)
-        .orderBy(F.xxhash64(F.col(key), F.substring(text, 1, 64)), key)
-        .select(text)
-        .limit(rows)
-    )
-    return train([r[0] for r in sample.collect()])
+    return train([r[0] for r in bounded_sample(df, [text, key], rows, F.length(text) > 0)])
 
 
 class _Split:
