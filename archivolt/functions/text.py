@@ -39,9 +39,9 @@ DATE_TIME = r"^\d{4}-(0[1-9]|1[0-2])-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(Z|[+-
 
 
 def is_date_time(value: Column) -> Column:
-    """Whether a string is an ISO date-time without fraction, with Z or an offset, of an existing day."""
+    """Whether a string is an ISO date-time without fraction, with Z or an offset, of an existing day; null for null."""
     day = F.try_to_timestamp(F.substring(value, 1, 10), F.lit("yyyy-MM-dd"))
-    return value.rlike(DATE_TIME) & day.isNotNull() & ~value.startswith("0000")
+    return F.when(value.isNotNull(), value.rlike(DATE_TIME) & day.isNotNull() & ~value.startswith("0000"))
 
 
 def plain_text(text: Column) -> Column:

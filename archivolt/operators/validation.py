@@ -93,7 +93,7 @@ def raw_failures(df: DataFrame, value: str = "value") -> DataFrame:
         elif field in ("created_at", "saved_at"):
             checks.append(_failure(~is_date_time(text(field)), field, "date-time"))
     first = F.get(F.filter(F.array(*checks), lambda x: x.isNotNull()), F.lit(0))
-    named = F.when(first.reason == "missing", F.get(absent, F.lit(0))).when(first.reason == "extra", F.get(extra, F.lit(0))).otherwise(first.field)
+    named = F.when(keys.isNull(), F.lit(None)).when(first.reason == "missing", F.get(absent, F.lit(0))).when(first.reason == "extra", F.get(extra, F.lit(0))).otherwise(first.field)
     broken = df.select(value, keys.alias("_k"), named.alias("field"), first.reason.alias("reason"))
     return broken.select(value, "field", F.when(F.col("_k").isNull(), F.lit("json")).otherwise(F.col("reason")).alias("reason")).filter(
         "reason is not null"

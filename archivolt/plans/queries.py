@@ -40,8 +40,8 @@ _FAILURES = "".join(
  UNION ALL SELECT rec_no, 21, 'id', 'pattern' FROM articles WHERE NOT regexp_matches(id, '^[a-z]+_[a-zA-Z0-9._-]+$')
  UNION ALL SELECT rec_no, 22, 'source', 'enum' FROM articles WHERE source NOT IN ({", ".join(f"'{s}'" for s in validation.SOURCES)})
  UNION ALL SELECT rec_no, 23, 'url', 'uri' FROM articles WHERE NOT (starts_with(url, 'http://') OR starts_with(url, 'https://'))
- UNION ALL SELECT rec_no, 24, 'created_at', 'date-time' FROM articles WHERE NOT {_DATE_TIME.format("created_at")}
- UNION ALL SELECT rec_no, 25, 'saved_at', 'date-time' FROM articles WHERE NOT {_DATE_TIME.format("saved_at")}
+ UNION ALL SELECT rec_no, 24, 'created_at', 'date-time' FROM articles WHERE created_at IS NOT NULL AND NOT {_DATE_TIME.format("created_at")}
+ UNION ALL SELECT rec_no, 25, 'saved_at', 'date-time' FROM articles WHERE saved_at IS NOT NULL AND NOT {_DATE_TIME.format("saved_at")}
  UNION ALL SELECT rec_no, 26, 'images', 'items' FROM articles WHERE len(list_filter(images, lambda x: x IS NULL)) > 0"""
 
 
