@@ -63,7 +63,9 @@ def _character_table() -> dict[str, str]:
 
 TABLE = _character_table()
 COMMON = [c for c in "，：！？（）；　" if c in TABLE]
-UNSETTLED = re.compile("[" + "".join(map(re.escape, sorted(set(TABLE) - set(COMMON)))) + "]")
+#: The plane above 0xFFFF apart: a class that holds both is searched one member after another.
+UNSETTLED = re.compile("[" + "".join(re.escape(c) for c in sorted(set(TABLE) - set(COMMON)) if c <= "\uffff") + "]")
+UNSETTLED_ABOVE = re.compile("[\U0002f800-\U0002fa1f\U000e0000-\U000e01ff]")
 IGNORABLE = {c for c, plain in TABLE.items() if not plain}
 
 LATIN_RANGE, GREEK_RANGE, CYRILLIC_RANGE, MARKS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "ͰͱͲͳͶͷͻ-ͽͿΆΈ-Ͽ", "Ѐ-ԯ", "̀-ͯ"
@@ -79,6 +81,14 @@ _PAIRS = "|".join(
 UNSURE = re.compile(f"{_PAIRS}|(?<!{_W})[{CYRILLIC}{GREEK}{MARKS}ЁёЇї]+(?!{_W})")
 
 
+_FOREIGN = re.compile(f"[{GREEK_RANGE}{CYRILLIC_RANGE}]")
+
+
+def unsure(text: str) -> bool:
+    """Whether a word of the text may have to be respelled; only Greek and Cyrillic letters give cause."""
+    return bool(_FOREIGN.search(text) and UNSURE.search(text))
+
+
 def skeleton(word: str) -> str:
     """The word with every look-alike letter as Latin: equal for words that read the same."""
     return unicodedata.normalize(
@@ -109,6 +119,8 @@ def plain_characters(text: str) -> str:
             text = text.replace(c, TABLE[c])
     if UNSETTLED.search(text):
         text = UNSETTLED.sub(lambda m: TABLE[m.group()], text)
+    if UNSETTLED_ABOVE.search(text):
+        text = UNSETTLED_ABOVE.sub(lambda m: TABLE.get(m.group(), m.group()), text)
     return unicodedata.normalize("NFC", text)
 
 
@@ -132,7 +144,7 @@ def consistent_form(text: str | None) -> str | None:
     if text.isascii() and text.isprintable():
         return text
     text = plain_characters(text)
-    if UNSURE.search(text):
+    if unsure(text):
         text = WORD.sub(lambda m: _settled[m.group()], text)
     return text
 
@@ -297,7 +309,7 @@ class _First:
                 if text:
                     plain = text if text.isascii() and text.isprintable() else plain_characters(text)
                     words: set[str] = set()
-                    if UNSURE.search(plain):
+                    if unsure(plain):
                         words = {w for w in WORD.findall(plain) if _settled[w] != w}
                     out[self.key].append(k)
                     out["field"].append(field)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.arrow import bounded_sample, int_lists, map_slices
-from archivolt.llm.forms import IGNORABLE, UNSETTLED, UNSURE, consistent_form
+from archivolt.llm.forms import IGNORABLE, UNSETTLED, consistent_form, unsure
 
 #: Bound of the training sample: rows with the least hash of key and text.
 SAMPLE_ROWS = 8000
@@ -34,7 +34,7 @@ CLOSING = "”\"»」’)）]』】'›〉》"
 OPENING = "“\"«「‘(（[『【¿¡„'‹〈《"
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ⺀-⿟々"
 UNSPACED = "฀-๿຀-໿က-႟ក-៿"
-HIDDEN = "".join(sorted(IGNORABLE))
+HIDDEN = "".join(sorted(c for c in IGNORABLE if c <= "\uffff"))
 
 BLANK = re.compile(r"(?:\r\n|\n|\r)(?:[^\S\r\n]*(?:\r\n|\n|\r))+")
 MARK = re.compile(r"[^\S\r\n]*(?:[*•\-–·‣◦▪]+|\(?\d{1,3}[.)]|（\d{1,3}）|\d{1,3}[、．])(?=\s)")
@@ -90,7 +90,7 @@ class _Plain(dict):
     def __missing__(self, token: str) -> str:
         if len(self) > 200_000:
             self.clear()
-        odd = UNSETTLED.search(token) or UNSURE.search(token)
+        odd = UNSETTLED.search(token) or unsure(token)
         self[token] = made = consistent_form(token) if odd else token
         return made
 
@@ -137,6 +137,8 @@ def _left(text: str, start: int, at: int, tail: str) -> tuple[str, str]:
         if (cut := [m.end() for m in _CUT.finditer(token)]) and cut[-1] < len(token):
             token = token[cut[-1] :]
         token = _plain(token)
+        if not token:
+            return "^" + tail, "^"
     elif token[0] in OPENING:
         token = token.lstrip(OPENING) or token
     if token.isdigit():
@@ -166,7 +168,7 @@ def _right(text: str, at: int, stop: int) -> tuple[str, str]:
     if kind == "u":
         return opened + "u", text[here : here + 4]
     match = _WORD.match(text, here, min(stop, here + 16))
-    word = _plain(match.group()) if match else c
+    word = (_plain(match.group()) if match else c) or c
     first = word[0]
     kind = "d" if first.isdigit() else "l" if first.islower() else "U" if first.isupper() else "n" if first.isalpha() else "p"
     if match and kind == "l" and match.end() + 1 < stop and text[match.end()] in ".@/" and text[match.end() + 1].isalnum():
