@@ -28,6 +28,8 @@ from archivolt.llm.forms import IGNORABLE, UNSETTLED, consistent_form, unsure
 SAMPLE_ROWS = 8000
 #: Chance below which a token's absence from paragraph ends is reliable.
 CHANCE = 0.0005
+#: Share of a token's sightings at paragraph ends that makes a space after it a boundary.
+SPACE_RATE = 0.05
 
 TERMINAL = ".!?…。！？｡．؟۔।॥‽"
 CLOSING = "”\"»」’)）]』】'›〉》"
@@ -130,7 +132,7 @@ def _left(text: str, start: int, at: int, tail: str) -> tuple[str, str]:
         width = 2 if len(tail) == 1 or tail[-1] in TERMINAL else 1
         return _plain(before[-width - 2 :])[-width:] + tail, "w"
     if kind == "u":
-        return _plain(before[-6:])[-4:] + tail, "u"
+        return _plain(before[-12:].rsplit(None, 1)[-1])[-3:] + tail, "u"
     parts = before.rsplit(None, 2)
     token = parts[-1]
     if not token.isascii():
@@ -247,7 +249,10 @@ def _line_start(text: str, start: int, at: int) -> int:
     return max(start, text.rfind("\n", start, at) + 1, text.rfind("\r", start, at) + 1)
 
 
-def _bucket(inside: int, at_end: int, reliable: int) -> str:
+def _bucket(run: str, inside: int, at_end: int, reliable: int) -> str:
+    """How a token stands to paragraph ends; a mere space needs an ending that is often seen there."""
+    if run == " ":
+        return "some" if at_end >= 3 and at_end >= SPACE_RATE * (inside + at_end) else "never"
     if at_end > 0:
         return "some"
     return "never" if inside >= reliable else "few"
@@ -290,14 +295,16 @@ def train(texts: list[str], rounds: int = 150, penalty: float = 1e-4) -> Sentenc
     reliable = max(8, math.ceil(math.log(CHANCE) / math.log(1 - rate)))
     rows: Counter[tuple] = Counter()
     for (run, key, left, right, word), n in open_cases.items():
-        bucket = _bucket(inside[key], at_end[key], reliable)
+        bucket = _bucket(run, inside[key], at_end[key], reliable)
         c = Candidate(0, 0, run, key, left, right, word)
         if bucket == "never" or (right.lstrip("“")[0] == "l" and run not in " \n"):
             rows[(_features(c, bucket), 0)] += n
         if run == "\n":
             rows[(_features(c, bucket), 1)] += n
     for (run, key, left, right, word), n in ends.items():
-        bucket = _bucket(inside[key], at_end[key] - 1, reliable)
+        bucket = _bucket(run, inside[key], at_end[key] - 1, reliable)
+        if run == " " and bucket == "never":
+            continue
         rows[(_features(Candidate(0, 0, run, key, left, right, word), bucket), 1)] += n
     model = SentenceModel(
         inside={k: n for k, n in inside.items() if n >= reliable or at_end[k]},
@@ -359,7 +366,7 @@ class Splitter:
             if len(self.known) > 300_000:
                 self.known.clear()
             m = self.model
-            bucket = _bucket(m.inside.get(c.key, 0), m.at_end.get(c.key, 0), m.reliable)
+            bucket = _bucket(c.run, m.inside.get(c.key, 0), m.at_end.get(c.key, 0), m.reliable)
             score = m.weights.get("", 0.0) + sum(m.weights.get(f, 0.0) for f in _features(c, bucket))
             self.known[case] = made = score > 0 if m.weights else True
         return made
