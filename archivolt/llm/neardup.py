@@ -21,12 +21,12 @@ from archivolt.llm.arrow import int_lists, map_slices, record_batch
 from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, comparable_texts, mix, shingle_hashes, verified
 from archivolt.workspace import BROADCAST_BYTES, settle
 
-#: 40 bands of 5: a pair of similarity 0.7 meets with probability 0.9993, of 0.75 with 0.99998.
-BANDS, ROWS = 40, 5
+#: 60 bands of 5: a pair of similarity 0.7 meets with probability 0.99998, of 0.75 almost surely.
+BANDS, ROWS = 60, 5
 #: Passes of one-permutation hashing and bins of each; BANDS * ROWS values in all.
-PASSES, BINS = 4, 50
+PASSES, BINS = 6, 50
 #: Bits of a sketch, and how many may differ: the mean at 0.7 is 19.2, the deviation 4.
-BITS, BUDGET = 128, 34
+BITS, BUDGET = 128, 38
 #: Texts of a band in one trie; a larger band is joined as pairs of blocks of this size.
 TRIE_TEXTS = 4000
 
