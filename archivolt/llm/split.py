@@ -27,7 +27,8 @@ def cut(
     """(first token, token after the last, kind of end) of the pieces of one item.
 
     ``sums[k]`` is the size of the first k tokens, ``ends`` holds sorted token offsets where
-    a piece may end, best level first, ``starts`` sorted offsets where an overlap may begin.
+    a piece may end, best level first, ``starts`` sorted offsets where an overlap begins if
+    it can, else at an end of the last level.
     Every piece has at most ``limit``, together they cover the item, and each but the first
     repeats at most ``overlap`` of the one before. A piece ends at the last boundary under
     the limit of the best level that has one past what is covered, else at the limit.
@@ -51,8 +52,7 @@ def cut(
         if covered >= last:
             return pieces
         back = bisect_left(sums, sums[end] - overlap)
-        at = bisect_left(starts, back)
-        start = starts[at] if at < len(starts) and starts[at] < end else back
+        start = next((p[at] for p in (starts, ends[-1]) if (at := bisect_left(p, back)) < len(p) and p[at] < end), back)
         start = max(start, pieces[-1][0] + 1) if start < end else end
     pieces.append((start, last, "end"))
     return pieces
