@@ -173,3 +173,91 @@ def logical_hash(df: DataFrame, *columns: str) -> DataFrame:
     """
     number = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]), 256), 1, 12), 16, 10)
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(number.cast("bigint")), F.lit(0)).alias("hash"))
+
+
+def index_report(change: DataFrame, failed: int = 0) -> DataFrame:
+    """(discovered, created, updated, unchanged, absent, failed) of a run from its changes."""
+    kind = F.col("change")
+    return change.agg(
+        F.count_if(kind != "absent").alias("discovered"),
+        F.count_if(kind == "created").alias("created"),
+        F.count_if(kind.isin("normalised_changed", "source_changed")).alias("updated"),
+        F.count_if(kind == "unchanged").alias("unchanged"),
+        F.count_if(kind == "absent").alias("absent"),
+        F.lit(failed).cast("bigint").alias("failed"),
+    )
+
+
+def merged(rows: DataFrame, key: str, value: str, at: str, policy: str) -> DataFrame:
+    """(key, value, versions) of records of one identity, by policy.
+
+    survivor keeps the oldest value, newest_reviewed the newest; reject is an error as soon
+    as a key has two different values. Nulls are no values.
+    """
+    grouped = rows.filter(F.col(value).isNotNull()).groupBy(key).agg(
+        F.min_by(value, at).alias("_old"), F.max_by(value, at).alias("_new"), F.min(value).alias("_a"), F.max(value).alias("_b"), F.count("*").alias("versions")
+    )
+    if policy not in ("reject", "survivor", "newest_reviewed"):
+        raise ValueError(f"unknown policy: {policy}")
+    conflict = F.raise_error(F.concat(F.lit("conflicting values of "), F.col(key).cast("string"))).cast("string")
+    chosen = {
+        "survivor": F.col("_old"),
+        "newest_reviewed": F.col("_new"),
+        "reject": F.when(F.col("_a") != F.col("_b"), conflict).otherwise(F.col("_old")),
+    }[policy]
+    return grouped.select(key, chosen.alias(value), "versions")
+
+
+def derivation_failures(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, reason): what makes a derived record unusable.
+
+    ``rows`` has summary, key_points, topics and tags (structs of name and confidence),
+    evergreen_score and citations (structs of claim and excerpt), beside the source text.
+    """
+    plain = plain_text(F.coalesce(text, F.lit("")))
+    checks = [
+        (F.coalesce(F.length(F.trim("summary")), F.lit(0)) == 0, "summary"),
+        (F.size("key_points") > 10, "key_points"),
+        (F.size("topics") > 5, "topics"),
+        (F.size("tags") > 8, "tags"),
+        (~F.coalesce(F.col("evergreen_score").between(0, 5), F.lit(False)), "evergreen_score"),
+        (F.exists("topics", lambda t: ~t.confidence.between(0, 1)) | F.exists("tags", lambda t: ~t.confidence.between(0, 1)), "confidence"),
+        (F.exists("citations", lambda c: ~F.contains(plain, plain_text(c.excerpt))), "excerpt"),
+    ]
+    found = F.filter(F.array(*[F.when(broken, F.lit(name)) for broken, name in checks]), lambda x: x.isNotNull())
+    return rows.select(key, F.explode(found).alias("reason"))
+
+
+def reuse(wanted: DataFrame, derived: DataFrame, key: str) -> DataFrame:
+    """(key, decision): reuse, stale or derive, by source hash, kind, prompt and policy.
+
+    All four equal is reuse; if only the normalised hash differs the record is stale.
+    """
+    same = [key, "source_hash", "kind", "prompt", "policy"]
+    known = derived.groupBy(*same).agg(F.collect_set("normalised_hash").alias("_known"))
+    decision = F.when(F.col("_known").isNull(), "derive").when(F.array_contains("_known", F.col("normalised_hash")), "reuse").otherwise("stale")
+    return wanted.join(known, same, "left").select(key, decision.alias("decision"))
+
+
+def reading_state(marks: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, state, origin): the newest human mark of a document, else its newest other mark."""
+    rank = F.struct((F.col("origin") == "human").cast("int").alias("human"), F.col(at))
+    return marks.groupBy(key).agg(F.max_by(F.struct("state", "origin"), rank).alias("_m")).select(key, "_m.state", "_m.origin")
+
+
+def adopt(lexical: DataFrame, hybrid: DataFrame, gain: float = 0.10, loss: float = 0.02) -> DataFrame:
+    """(gain, adopt): whether hybrid recall on semantic queries gains enough and lexical recall loses little.
+
+    Both hold (kind, recall) of kinds semantic and lexical.
+    """
+    both = lexical.select("kind", F.col("recall").alias("_l")).join(hybrid.select("kind", F.col("recall").alias("_h")), "kind")
+    delta = F.col("_h") - F.col("_l")
+    made = both.agg(F.max(F.when(F.col("kind") == "semantic", delta)).alias("gain"), F.min(F.when(F.col("kind") == "lexical", delta)).alias("_loss"))
+    return made.select("gain", ((F.col("gain") >= gain) & (F.coalesce("_loss", F.lit(0.0)) >= -loss)).alias("adopt"))
+
+
+def broken_links(links: DataFrame, pages: DataFrame, creatable: DataFrame) -> DataFrame:
+    """(source, target, state) of links whose page is missing: creatable if a note may be made for it, else broken."""
+    missing = links.join(pages.select(F.col("page").alias("target")), "target", "left_anti")
+    known = creatable.select(F.col("page").alias("target")).distinct().withColumn("_c", F.lit(True))
+    return missing.join(known, "target", "left").select("source", "target", F.when(F.col("_c"), "creatable").otherwise("broken").alias("state"))
