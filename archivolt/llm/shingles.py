@@ -58,13 +58,12 @@ class _Verify:
         self.carry, self.threshold = carry, threshold
 
     def __call__(self, part: pa.RecordBatch) -> dict:
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[str, np.ndarray] = {}
 
         def of(text: str) -> np.ndarray:
-            key = hash(text)
-            if key not in sets:
-                sets[key] = shingle_set(text)
-            return sets[key]
+            if text not in sets:
+                sets[text] = shingle_set(text)
+            return sets[text]
 
         a, b = part.column("_text_a").to_pylist(), part.column("_text_b").to_pylist()
         similar = np.array([jaccard(of(x), of(y)) >= self.threshold for x, y in zip(a, b, strict=True)], bool)
