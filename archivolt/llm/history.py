@@ -27,6 +27,8 @@ TOKEN_SHARE = 8
 #: Similarity of the token sets that a prefix guarantees to find; lower than THRESHOLD by
 #: three deviations of the share of common tokens in the shortest texts.
 TOKEN_THRESHOLD = 0.5
+#: Batches that p6_found checks one by one after the backlog.
+LATEST = 3
 #: Counts of tokens by hash, from the first batch: they only order tokens by rarity.
 COUNT_BITS = 18
 
@@ -101,6 +103,7 @@ class _Rows:
         return {
             "rec_no": part.column("rec_no"),
             "id": part.column("id"),
+            "batch_no": part.column("batch_no"),
             "t": [instant(x) for x in part.column("saved_at").to_pylist()],
             "h": pa.array(classes, pa.int64()),
             "n": sizes,
@@ -142,14 +145,15 @@ class History:
             self.counts = np.zeros(1 << COUNT_BITS, np.int64)
             for slot, n in found.collect():
                 self.counts[slot] = n
-        schema = "rec_no bigint, id string, t bigint, h bigint, n bigint, prefix array<bigint>, text string"
-        columns = [F.col("rec_no").cast("bigint"), "id", "saved_at", "title", "content"]
+        schema = "rec_no bigint, id string, batch_no int, t bigint, h bigint, n bigint, prefix array<bigint>, text string"
+        columns = [F.col("rec_no").cast("bigint"), "id", F.col("batch_no").cast("int"), "saved_at", "title", "content"]
         return settle(map_slices(batch.select(*columns), schema, _Rows(self.counts, self.least)), "batch")
 
     def check(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(accepted rows, rec_no of the others) of a prepared batch.
 
-        Rows come in order of the instant of saved_at (none last), then of rec_no. A row is
+        Rows come in order of batch_no, of the instant of saved_at (none last), then of rec_no.
+        A row is
         accepted unless an accepted row of this or an earlier batch has its id (null equals
         nothing) or a text similar to its own.
         """
@@ -173,7 +177,7 @@ class History:
             old_texts = past.filter("text is not null").select("h", "text").join(_small(wanted, 8), "h", "left_semi")
             new = new.unionByName(pairs.filter("old").join(old_texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g"))
         links = settle(verified(new, ["h", "g", "old"], self.threshold), "links")
-        order = F.struct(F.col("t").isNull().alias("late"), F.coalesce("t", F.lit(0)).alias("t"), "rec_no")
+        order = F.struct(F.col("batch_no").isNull().alias("last"), F.coalesce("batch_no", F.lit(0)).alias("b"), F.col("t").isNull().alias("late"), F.coalesce("t", F.lit(0)).alias("t"), "rec_no")
         open_rows = rows.select("rec_no", "id", "h", order.alias("ord"))
         if past is not None:
             open_rows = (
@@ -245,12 +249,20 @@ def _small(df: DataFrame, width: int) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
-def rejected(articles: DataFrame) -> DataFrame:
-    """(rec_no) of the rows not accepted, batch_no after batch_no; rows without a batch come last."""
+def rejected(articles: DataFrame, latest: int = LATEST) -> DataFrame:
+    """(rec_no) of the rows not accepted, batch_no after batch_no; rows without a batch come last.
+
+    The ``latest`` batches are each checked against the history; the backlog before them is
+    one load, decided in the same order. The result does not depend on ``latest``.
+    """
     spark = articles.sparkSession
     history, made = History(spark), None
     batches = sorted((r[0] for r in articles.select("batch_no").distinct().collect()), key=lambda b: (b is None, b))
-    parts = [articles.filter(F.col("batch_no").eqNullSafe(F.lit(b))) for b in batches]
+    backlog, single = batches[: max(0, len(batches) - latest)], batches[max(0, len(batches) - latest) :]
+    b = F.col("batch_no")
+    before = b.isin([x for x in backlog if x is not None])
+    parts = [articles.filter(before | b.isNull() if None in backlog else before)] if backlog else []
+    parts += [articles.filter(F.col("batch_no").eqNullSafe(F.lit(b))) for b in single]
     with ThreadPoolExecutor(1) as ahead:  # the next batch is prepared while one is checked
         rows = ahead.submit(history.prepare, parts[0]) if parts else None
         for k in range(len(parts)):

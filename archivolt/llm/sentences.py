@@ -353,6 +353,13 @@ def _end_of(text: str, start: int, stop: int) -> tuple[str, str, str] | None:
     return None
 
 
+def _repeats(text: str, title: str) -> bool:
+    """Whether a text reads the same as a title."""
+    if text == title:
+        return True
+    return len(text) <= 2 * len(title) + 8 and len(title) <= 2 * len(text) + 8 and consistent_form(text) == consistent_form(title)
+
+
 class Splitter:
     """Finds the sentences of texts with a model; keeps recent decisions of its worker."""
 
@@ -376,7 +383,7 @@ class Splitter:
         if not text:
             return []
         blocks = _blocks(text)
-        if title and blocks and text.strip() == title.strip():
+        if title and blocks and _repeats(text.strip(), title.strip()):
             return [(blocks[0][0], blocks[-1][1])]
         made = []
         for start, stop in blocks:

@@ -97,5 +97,6 @@ def test_history_against_a_pass_in_order(spark, rows):
         else:
             accepted.add(r[0])
             ids |= {r[4]} - {None}
-    assert {r.rec_no for r in history.rejected(df).collect()} == rejected
+    for latest in (0, 1, 3):
+        assert {r.rec_no for r in history.rejected(df, latest).collect()} == rejected
     assert history.rejected(df.limit(0)).count() == 0
