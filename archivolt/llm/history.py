@@ -1,9 +1,9 @@
 """Checking new batches against everything accepted so far (problem 6).
 
-The history is an inverted index: postings of the rarest tokens of every accepted row,
-in buckets by token, beside the accepted ids and texts. A batch probes the index with its
-own rarest tokens, keeps pairs whose lengths allow the similarity, verifies the rest
-exactly, decides its rows in order, and appends the accepted ones.
+The history is an inverted index: postings of the rare tokens of every accepted row, in
+buckets by token, beside the accepted ids, sketches and texts. A batch probes the index
+with its own tokens, keeps pairs whose sketches allow the similarity, verifies their
+overlap exactly, decides its rows in order, and appends the accepted ones.
 """
 
 from __future__ import annotations
@@ -19,19 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm.arrow import int_lists, map_slices
-from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, shingle_hashes, verified
+from archivolt.llm.neardup import BUDGET, _join_tries, _tries, min_hashes, sketches
+from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, verified
 from archivolt.workspace import BROADCAST_BYTES, new_path, settle
 
-#: One shingle of so many, by its hash, is a token.
-TOKEN_SHARE = 8
-#: Similarity of the token sets that a prefix guarantees to find; lower than THRESHOLD by
-#: three deviations of the share of common tokens in the shortest texts.
-TOKEN_THRESHOLD = 0.5
+#: Tokens of a text: conjunctions of five min-hashed shingles, rare by their build. A pair of
+#: similarity 0.7 shares one of 48 with probability 0.9999, of 0.75 almost surely.
+TOKENS = 48
 #: Batches that p6_found checks one by one after the backlog.
 LATEST = 3
-#: Counts of tokens by hash, from the first batch: they only order tokens by rarity.
-COUNT_BITS = 18
-
 _INSTANT = re.compile(r"^(\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)([Zz]|[+-]\d{2}:?\d{2})$")
 
 
@@ -46,68 +42,42 @@ def instant(value: str | None) -> int | None:
     return round(moment.timestamp() * 1_000_000)
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of the texts, and the index of each one's text."""
-    h, owner = shingle_hashes(texts)
-    chosen = h % np.uint64(TOKEN_SHARE) == 0
-    h, owner = h[chosen], owner[chosen]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[first], owner[first]
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-
-
-def _count(part: pa.RecordBatch) -> dict:
-    h, _ = tokens(part.column("text").to_pylist())
-    slots, n = np.unique(_slot(h), return_counts=True)
-    return {"slot": slots, "n": n}
+ROWS = "rec_no bigint, id string, batch_no int, t bigint, h bigint, s1 bigint, s2 bigint, bands array<bigint>, text string"
+ACCEPTED = "rec_no bigint, id string, h bigint, s1 bigint, s2 bigint, bands array<bigint>, text string"
 
 
 class _Rows:
-    """Rows of a batch with id, instant, class, and once a text of the slice its rarest tokens."""
+    """Rows of a batch with id, instant and class, and once a text of the slice its sketch and tokens."""
 
-    def __init__(self, counts: np.ndarray, least: int):
-        self.counts, self.compared = counts, _Comparable("_row", "title", "content", least)
+    def __init__(self, least: int):
+        self.compared = _Comparable("_row", "title", "content", least)
 
     def __call__(self, part: pa.RecordBatch) -> dict:
         n = part.num_rows
         rows = self.compared(pa.RecordBatch.from_arrays([pa.array(range(n)), part.column("title"), part.column("content")], names=["_row", "title", "content"]))
         classes: list[int | None] = [None] * n
         texts: list[str | None] = [None] * n
-        sizes, offsets, flat = np.zeros(n, np.int64), np.zeros(n + 1, np.int64), []
-        seen: set[int] = set()
-        chosen = []
+        first: dict[int, tuple[int, str]] = {}
         for k, h, text in zip(rows["_row"], rows["h"], rows["text"], strict=True):
             classes[k] = h
-            if h not in seen:
-                seen.add(h)
-                chosen.append((k, text))
+            if h not in first:
+                first[h] = (k, text)
                 texts[k] = text
-        h, owner = tokens([text for _, text in chosen])
-        order = np.lexsort((h, self.counts[_slot(h)], owner))
-        h, owner = h[order], owner[order]
-        first = np.searchsorted(owner, np.arange(len(chosen) + 1))
-        lengths = np.zeros(n, np.int64)
-        for c, (k, _) in enumerate(chosen):
-            size = int(first[c + 1] - first[c])
-            prefix = size - int(np.ceil(TOKEN_THRESHOLD * size - 1e-9)) + 1 if size else 0
-            sizes[k], lengths[k] = size, prefix
-            flat.append(h[first[c] : first[c] + prefix])
-        offsets[1:] = np.cumsum(lengths)
-        made = np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)
+        chosen = list(first.values())
+        s1, s2, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        tokens = np.zeros((0, TOKENS), np.int64)
+        if chosen:
+            high, low, tokens = sketches(min_hashes([text for _, text in chosen]))
+            tokens, at = tokens[:, :TOKENS], [k for k, _ in chosen]
+            s1[at], s2[at] = high, low
+            lengths[np.array(at) + 1] = TOKENS
         return {
-            "rec_no": part.column("rec_no"),
-            "id": part.column("id"),
-            "batch_no": part.column("batch_no"),
+            **{c: part.column(c) for c in ("rec_no", "id", "batch_no")},
             "t": [instant(x) for x in part.column("saved_at").to_pylist()],
             "h": pa.array(classes, pa.int64()),
-            "n": sizes,
-            "prefix": int_lists(made, offsets, pa.int64()),
+            "s1": s1,
+            "s2": s2,
+            "bands": int_lists(tokens.ravel(), np.cumsum(lengths), pa.int64()),
             "text": pa.array(texts, pa.string()),
         }
 
@@ -126,28 +96,16 @@ class History:
         self.postings = f"postings_{uuid.uuid4().hex}"
         self.postings_path = new_path(spark, "postings")
         self.paths: list[str] = []
-        self.counts: np.ndarray | None = None
 
     @property
     def accepted(self) -> DataFrame | None:
-        """(rec_no, id, h, n, prefix, text) of every accepted row."""
-        if not self.paths:
-            return None
-        return self.spark.read.schema("rec_no bigint, id string, h bigint, n bigint, prefix array<bigint>, text string").parquet(*self.paths)
+        """Every accepted row; its text, sketch and tokens are null or empty if it is in no class."""
+        return self.spark.read.schema(ACCEPTED).parquet(*self.paths) if self.paths else None
 
     def prepare(self, batch: DataFrame) -> DataFrame:
-        """The rows of a batch, ready to be checked; of the history only the order of tokens is needed."""
-        if self.counts is None:  # at most 2 ** COUNT_BITS rows
-            from archivolt.llm.shingles import comparable_texts
-
-            texts = comparable_texts(batch, "rec_no", "title", "content", self.least)
-            found = map_slices(texts.select("text"), "slot bigint, n bigint", _count).groupBy("slot").agg(F.sum("n").alias("n"))
-            self.counts = np.zeros(1 << COUNT_BITS, np.int64)
-            for slot, n in found.collect():
-                self.counts[slot] = n
-        schema = "rec_no bigint, id string, batch_no int, t bigint, h bigint, n bigint, prefix array<bigint>, text string"
+        """The rows of a batch, ready to be checked; needs nothing of the history."""
         columns = [F.col("rec_no").cast("bigint"), "id", F.col("batch_no").cast("int"), "saved_at", "title", "content"]
-        return settle(map_slices(batch.select(*columns), schema, _Rows(self.counts, self.least)), "batch")
+        return settle(map_slices(batch.select(*columns), ROWS, _Rows(self.least)), "batch")
 
     def check(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(accepted rows, rec_no of the others) of a prepared batch.
@@ -157,21 +115,23 @@ class History:
         accepted unless an accepted row of this or an earlier batch has its id (null equals
         nothing) or a text similar to its own.
         """
-        texts = rows.filter(F.col("text").isNotNull()).dropDuplicates(["h"]).select("h", "n", "prefix", "text")
-        probes = texts.select(F.explode("prefix").alias("token"), "h", "n")
-        compatible = F.least("n", "m") >= F.ceil(F.lit(TOKEN_THRESHOLD) * F.greatest("n", "m"))
-        mine = probes.select("token", F.col("h").alias("g"), F.col("n").alias("m"))
-        inner = probes.join(mine, "token").filter((F.col("h") < F.col("g")) & compatible).select("h", "g", F.lit(False).alias("old"))
+        texts = rows.filter("text is not null")
+        tries = _tries(texts.select("h", "s1", "s2", "bands")).repartition("band", "block").sortWithinPartitions("band", "block")
+        found = tries.mapInArrow(_join_tries, "a bigint, b bigint").distinct().select(F.col("a").alias("h"), F.col("b").alias("g"), F.lit(False).alias("old"))
         past = self.accepted
-        if past is None:
-            found = inner
-        else:
-            index = self.spark.table(self.postings)
-            outer = probes.join(index, "token").filter(compatible).select("h", "g", F.lit(True).alias("old"))
-            found = inner.unionByName(outer)
-        found = settle(found.distinct(), "found")
-        pairs = found.join(texts.select("h", F.col("text").alias("_text_a")), "h")
-        new = pairs.filter("not old").join(texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g")
+        if past is not None:
+            probes = texts.select(F.explode("bands").alias("token"), "h")
+            outer = probes.join(self.spark.table(self.postings), "token").select("h", "g").distinct()
+            mine = texts.select("h", "s1", "s2").distinct()
+            theirs = past.filter("text is not null").select(F.col("h").alias("g"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+            differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+            outer = outer.join(mine, "h").join(theirs, "g").filter(differ <= BUDGET)
+            found = found.unionByName(outer.select("h", "g", F.lit(True).alias("old")))
+        found = settle(found, "found")
+        inside = found.select("h").unionByName(found.filter("not old").select(F.col("g").alias("h"))).distinct()
+        own = texts.select("h", "text").join(_small(inside, 8), "h", "left_semi").dropDuplicates(["h"])
+        pairs = found.join(own.select("h", F.col("text").alias("_text_a")), "h")
+        new = pairs.filter("not old").join(own.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g")
         if past is not None:
             wanted = found.filter("old").select(F.col("g").alias("h")).distinct()
             old_texts = past.filter("text is not null").select("h", "text").join(_small(wanted, 8), "h", "left_semi")
@@ -187,15 +147,16 @@ class History:
         accepted = _in_order(open_rows, links.filter("not old").select("h", "g"))
         taken = rows.select("rec_no", "id", "h").join(accepted, "rec_no", "left_semi")
         path = new_path(self.spark, "accepted")
-        taken.join(texts, "h", "left").select("rec_no", "id", "h", "n", "prefix", "text").write.option("compression", "zstd").parquet(path)
-        taken = self.spark.read.schema("rec_no bigint, id string, h bigint, n bigint, prefix array<bigint>, text string").parquet(path)
+        once = texts.select("h", "s1", "s2", "bands", "text").dropDuplicates(["h"])
+        taken.join(once, "h", "left").select("rec_no", "id", "h", "s1", "s2", "bands", "text").write.option("compression", "zstd").parquet(path)
+        taken = self.spark.read.schema(ACCEPTED).parquet(path)
         self.checked = path
         return taken, rows.select("rec_no").join(taken.select("rec_no"), "rec_no", "left_anti")
 
     def append(self, taken: DataFrame) -> None:
         """Take the accepted rows of the batch last checked into the history."""
         self.paths.append(self.checked)
-        postings = taken.filter("h is not null").select(F.explode("prefix").alias("token"), F.col("h").alias("g"), F.col("n").alias("m"))
+        postings = taken.select(F.explode("bands").alias("token"), F.col("h").alias("g"))
         (
             postings.repartition(self.buckets, "token")
             .write.bucketBy(self.buckets, "token")
