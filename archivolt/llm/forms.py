@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm.arrow import map_slices, record_batch
+from archivolt.workspace import settle
 
 # Cyrillic and Greek letters and the Latin letters they look like.
 CYRILLIC = "АВЕКМНОРСТУХЅІЈԚԜҺаеорсухѕіјһԁԛԝӏ"
@@ -234,7 +235,7 @@ def _canonical_words(words: DataFrame) -> DataFrame:
         yield from matched()
 
     settled = map_slices(
-        vocabulary, "word string, settled string, n bigint, skeleton string, prefix string, doubtful boolean", _settle
+        vocabulary, "word string, settled string, n bigint, skeleton string, prefix string", _settle
     )
     wanted = settled.filter(unsettled).select("skeleton").distinct()
     return (
@@ -255,7 +256,6 @@ def _settle(part: pa.RecordBatch) -> dict:
         "n": part.column("n"),
         "skeleton": skeletons,
         "prefix": [s[:3] for s in skeletons],
-        "doubtful": [a != b for a, b in zip(words, made, strict=True)],
     }
 
 
@@ -267,8 +267,6 @@ def consistent_forms(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """
     kind = df.schema[key].dataType.simpleString()
     first = map_slices(df.select(key, *fields), f"{key} {kind}, field string, text string, doubtful array<string>", _First(key, fields))
-    from archivolt.workspace import settle
-
     first = settle(first, "forms")
     words = map_slices(first.select("text"), "word string, skeleton string, n bigint", _count_words)
     spelling = _canonical_words(words)
@@ -353,8 +351,6 @@ def same_reading(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     raw = df.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*fields))).alias("field", "raw"))
     raw = raw.filter(F.length("raw") > 0).select(key, "field", F.xxhash64("raw").alias("raw"))
     rows = read.join(raw, [key, "field"]).distinct()
-    from archivolt.workspace import settle
-
     rows = settle(rows, "readings")
     mixed = (
         rows.groupBy("field", "h", "l")
