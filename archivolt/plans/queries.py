@@ -402,6 +402,14 @@ def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.search(rows, "rec_no", F.col("title"), asked).filter("score >= 0.6")
 
 
+@query()
+def title_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As title_search, but over all titles in all scripts; tested against brute force instead of SQL."""
+    rows = table(spark, sf_dir, "articles").filter("title is not null").select("rec_no", "title")
+    asked = rows.filter(F.col("rec_no") % 100 == 0).select(F.lower("title").alias("query")).distinct()
+    return documents.search(rows, "rec_no", F.col("title"), asked).filter("score >= 0.6")
+
+
 @query(
     """WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)
     SELECT query, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (
