@@ -1,15 +1,17 @@
 """Checking new batches against everything accepted so far (problem 6).
 
-The history is an inverted index: postings of the rare tokens of every accepted row, in
-buckets by token, beside the accepted ids, sketches and texts. A batch probes the index
-with its own tokens, keeps pairs whose sketches allow the similarity, verifies their
-overlap exactly, decides its rows in order, and appends the accepted ones.
+The history is an inverted index in a folder of its own, which a later session opens again:
+postings of the rare tokens of every accepted text, in buckets by token and sorted, beside
+the accepted ids and texts, in buckets by their hashes and sorted. A batch probes the index
+with its own tokens, ids and text hashes, keeps pairs whose lengths and sketches allow the
+similarity, verifies their overlap exactly, decides its rows in order, and appends the
+accepted ones. What a batch reads follows its own keys (see ``keyed``).
 """
 
 from __future__ import annotations
 
+import json
 import re
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -17,17 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from archivolt.llm import keyed
 from archivolt.llm.arrow import int_lists, map_slices
 from archivolt.llm.neardup import BUDGET, _join_tries, _tries, min_hashes, sketches
-from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, verified
-from archivolt.workspace import BROADCAST_BYTES, new_path, settle
+from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, shingle_hashes, verified
+from archivolt.workspace import new_path, remove, settle
 
 #: Tokens of a text: conjunctions of five min-hashed shingles, rare by their build. A pair of
 #: similarity 0.7 shares one of 48 with probability 0.9999, of 0.75 almost surely.
 TOKENS = 48
-#: Batches that p6_found checks one by one after the backlog.
-LATEST = 3
 _INSTANT = re.compile(r"^(\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)([Zz]|[+-]\d{2}:?\d{2})$")
 
 
@@ -42,12 +44,16 @@ def instant(value: str | None) -> int | None:
     return round(moment.timestamp() * 1_000_000)
 
 
-ROWS = "rec_no bigint, id string, batch_no int, t bigint, h bigint, s1 bigint, s2 bigint, bands array<bigint>, text string"
-ACCEPTED = "rec_no bigint, id string, h bigint, s1 bigint, s2 bigint, bands array<bigint>, text string"
+ROWS = "rec_no bigint, id string, batch_no int, t bigint, h bigint, s1 bigint, s2 bigint, size int, bands array<bigint>, text string"
+#: Stored tables; every one is sorted by its first column.
+POSTINGS: StructType = StructType().add("token", "long").add("g", "long").add("g_size", "integer")
+TEXTS: StructType = StructType().add("k", "long").add("t1", "long").add("t2", "long").add("old_text", "string")
+IDS: StructType = StructType().add("id_hash", "long").add("old_id", "string")
+CLASSES: StructType = StructType().add("c", "long")
 
 
 class _Rows:
-    """Rows of a batch with id, instant and class, and once a text of the slice its sketch and tokens."""
+    """Rows of a batch with id, instant and class, and once a text of the slice its sketch, size and tokens."""
 
     def __init__(self, least: int):
         self.compared = _Comparable("_row", "title", "content", least)
@@ -64,19 +70,24 @@ class _Rows:
                 first[h] = (k, text)
                 texts[k] = text
         chosen = list(first.values())
-        s1, s2, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
+        s1, s2, size, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n + 1, np.int64)
         tokens = np.zeros((0, TOKENS), np.int64)
         if chosen:
-            high, low, tokens = sketches(min_hashes([text for _, text in chosen]))
+            hashes = shingle_hashes([text for _, text in chosen])
+            high, low, tokens = sketches(min_hashes(hashes=hashes, texts=len(chosen)))
             tokens, at = tokens[:, :TOKENS], [k for k, _ in chosen]
-            s1[at], s2[at] = high, low
-            lengths[np.array(at) + 1] = TOKENS
+            s1[at], s2[at], lengths[np.array(at) + 1] = high, low, TOKENS
+            owner, mixed = hashes[1], np.lexsort(hashes)
+            new = np.ones(len(mixed), bool)
+            new[1:] = (hashes[0][mixed][1:] != hashes[0][mixed][:-1]) | (owner[mixed][1:] != owner[mixed][:-1])
+            size[at] = np.bincount(owner[mixed][new], minlength=len(chosen))
         return {
             **{c: part.column(c) for c in ("rec_no", "id", "batch_no")},
             "t": [instant(x) for x in part.column("saved_at").to_pylist()],
             "h": pa.array(classes, pa.int64()),
             "s1": s1,
             "s2": s2,
+            "size": size,
             "bands": int_lists(tokens.ravel(), np.cumsum(lengths), pa.int64()),
             "text": pa.array(texts, pa.string()),
         }
@@ -85,22 +96,29 @@ class _Rows:
 class History:
     """Everything accepted so far; ``check`` decides a batch and ``append`` takes its accepted rows in.
 
-    Postings are kept in ``buckets`` buckets by token, so that a probe moves the tokens of
-    the batch and never those of the history. Texts of the history are read for candidate
-    pairs only.
+    ``path`` names its folder in a file system that all executors share; opened again, by
+    this or a later session, it goes on where the last append ended. An append counts once
+    its mark is written: one that broke off is written anew. Ids are compared as strings,
+    texts by classes of their hashes, similar texts exactly.
     """
 
-    def __init__(self, spark: SparkSession, least: int = LEAST, threshold: float = THRESHOLD, buckets: int | None = None):
-        self.spark, self.least, self.threshold = spark, least, threshold
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.postings = f"postings_{uuid.uuid4().hex}"
-        self.postings_path = new_path(spark, "postings")
-        self.paths: list[str] = []
+    def __init__(self, spark: SparkSession, path: str, least: int = LEAST, threshold: float = THRESHOLD, buckets: int | None = None):
+        self.spark, self.path, self.least, self.threshold = spark, path.rstrip("/"), least, threshold
+        self.marks = f"{self.path}/marks"
+        known = [json.loads(r.value) for r in spark.read.text(self.marks).collect()] if self._exists(self.marks) else []
+        self.buckets = known[0]["buckets"] if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.appended = len(known)
 
-    @property
-    def accepted(self) -> DataFrame | None:
-        """Every accepted row; its text, sketch and tokens are null or empty if it is in no class."""
-        return self.spark.read.schema(ACCEPTED).parquet(*self.paths) if self.paths else None
+    def _exists(self, path: str) -> bool:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+    def parts(self, table: str) -> list[str]:
+        """Folders of all appends of a stored table."""
+        return [f"{self.path}/{table}/{n}" for n in range(self.appended)]
+
+    def _lookup(self, asked: DataFrame, key: str, table: str, schema: StructType) -> DataFrame:
+        return keyed.lookup(asked, key, self.parts(table), schema, schema.names[0], self.buckets)
 
     def prepare(self, batch: DataFrame) -> DataFrame:
         """The rows of a batch, ready to be checked; needs nothing of the history."""
@@ -111,64 +129,47 @@ class History:
         """(accepted rows, rec_no of the others) of a prepared batch.
 
         Rows come in order of batch_no, of the instant of saved_at (none last), then of rec_no.
-        A row is
-        accepted unless an accepted row of this or an earlier batch has its id (null equals
-        nothing) or a text similar to its own.
+        A row is accepted unless an accepted row of this or an earlier batch has its id (null
+        equals nothing) or a text similar to its own.
         """
-        texts = rows.filter("text is not null")
+        texts = settle(rows.filter("text is not null").select("h", "s1", "s2", "size", "bands", "text").dropDuplicates(["h"]), "texts")
+        probes = texts.select("h", "s1", "s2", "size", F.explode("bands").alias("probe"))
         tries = _tries(texts.select("h", "s1", "s2", "bands")).repartition("band", "block").sortWithinPartitions("band", "block")
-        found = tries.mapInArrow(_join_tries, "a bigint, b bigint").distinct().select(F.col("a").alias("h"), F.col("b").alias("g"), F.lit(False).alias("old"))
-        past = self.accepted
-        if past is not None:
-            probes = texts.select(F.explode("bands").alias("token"), "h")
-            outer = probes.join(self.spark.table(self.postings), "token").select("h", "g").distinct()
-            mine = texts.select("h", "s1", "s2").distinct()
-            theirs = past.filter("text is not null").select(F.col("h").alias("g"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-            differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-            outer = outer.join(mine, "h").join(theirs, "g").filter(differ <= BUDGET)
-            found = found.unionByName(outer.select("h", "g", F.lit(True).alias("old")))
-        found = settle(found, "found")
-        inside = found.select("h").unionByName(found.filter("not old").select(F.col("g").alias("h"))).distinct()
-        own = texts.select("h", "text").join(_small(inside, 8), "h", "left_semi").dropDuplicates(["h"])
-        pairs = found.join(own.select("h", F.col("text").alias("_text_a")), "h")
-        new = pairs.filter("not old").join(own.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g")
-        if past is not None:
-            wanted = found.filter("old").select(F.col("g").alias("h")).distinct()
-            old_texts = past.filter("text is not null").select("h", "text").join(_small(wanted, 8), "h", "left_semi")
-            new = new.unionByName(pairs.filter("old").join(old_texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g"))
-        links = settle(verified(new, ["h", "g", "old"], self.threshold), "links")
+        inside = tries.mapInArrow(_join_tries, "a bigint, b bigint").distinct().select(F.col("a").alias("h"), F.col("b").alias("g"))
+        outside = self._lookup(probes, "probe", "postings", POSTINGS)
+        near = F.least("size", "g_size") >= self.threshold * F.greatest("size", "g_size")
+        outside = outside.filter(near).select("h", "s1", "s2", "g").distinct()
+        old = self._lookup(outside, "g", "texts", TEXTS)
+        differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+        old = old.filter(differ <= BUDGET).select("h", F.col("old_text").alias("_text_b"))
+        own = texts.select("h", F.col("text").alias("_text_a"))
+        new = inside.join(own, "h").join(texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g")
+        past = settle(verified(old.join(own, "h"), ["h"], self.threshold).distinct(), "past-links")
+        links = settle(verified(new, ["h", "g"], self.threshold), "links")
         order = F.struct(F.col("batch_no").isNull().alias("last"), F.coalesce("batch_no", F.lit(0)).alias("b"), F.col("t").isNull().alias("late"), F.coalesce("t", F.lit(0)).alias("t"), "rec_no")
         open_rows = rows.select("rec_no", "id", "h", order.alias("ord"))
-        if past is not None:
-            open_rows = (
-                open_rows.join(past.filter("id is not null").select("id"), "id", "left_anti")
-                .join(past.filter("h is not null").select("h").unionByName(links.filter("old").select("h")), "h", "left_anti")
-            )
-        accepted = _in_order(open_rows, links.filter("not old").select("h", "g"))
-        taken = rows.select("rec_no", "id", "h").join(accepted, "rec_no", "left_semi")
-        path = new_path(self.spark, "accepted")
-        once = texts.select("h", "s1", "s2", "bands", "text").dropDuplicates(["h"])
-        taken.join(once, "h", "left").select("rec_no", "id", "h", "s1", "s2", "bands", "text").write.option("compression", "zstd").parquet(path)
-        taken = self.spark.read.schema(ACCEPTED).parquet(path)
-        self.checked = path
+        if self.appended:
+            ids = rows.filter("id is not null").select("id").distinct().withColumn("_id_hash", F.xxhash64("id"))
+            known_ids = self._lookup(ids, "_id_hash", "ids", IDS).filter("id = old_id").select("id")
+            same = self._lookup(texts.select("h"), "h", "classes", CLASSES).select("h")
+            closed = past.select("h").unionByName(same).distinct()
+            open_rows = open_rows.join(known_ids.distinct(), "id", "left_anti").join(closed, "h", "left_anti")
+        accepted = _in_order(open_rows, links)
+        taken = settle(rows.select("rec_no", "id", "h").join(accepted, "rec_no", "left_semi"), "accepted")
+        self._checked = texts.join(taken.select("h").distinct(), "h", "left_semi")
         return taken, rows.select("rec_no").join(taken.select("rec_no"), "rec_no", "left_anti")
 
     def append(self, taken: DataFrame) -> None:
         """Take the accepted rows of the batch last checked into the history."""
-        self.paths.append(self.checked)
-        postings = taken.select(F.explode("bands").alias("token"), F.col("h").alias("g"))
-        (
-            postings.repartition(self.buckets, "token")
-            .write.bucketBy(self.buckets, "token")
-            .option("path", self.postings_path)
-            .mode("append")
-            .format("parquet")
-            .saveAsTable(self.postings)
-        )
-
-    def close(self) -> None:
-        """Forget the index's table; its files go with the session."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.postings}")
+        texts, n = self._checked, self.appended
+        keyed.write(texts.select(F.explode("bands").alias("token"), F.col("h").alias("g"), F.col("size").alias("g_size")), f"{self.path}/postings/{n}", "token", self.buckets)
+        keyed.write(texts.select(F.col("h").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("text").alias("old_text")), f"{self.path}/texts/{n}", "k", self.buckets)
+        keyed.write(texts.select(F.col("h").alias("c")), f"{self.path}/classes/{n}", "c", self.buckets)
+        ids = taken.filter("id is not null").select(F.xxhash64("id").alias("id_hash"), F.col("id").alias("old_id")).distinct()
+        keyed.write(ids, f"{self.path}/ids/{n}", "id_hash", self.buckets)
+        mark = json.dumps({"append": n, "buckets": self.buckets})
+        self.spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("append").text(self.marks)
+        self.appended += 1
 
 
 def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -205,36 +206,27 @@ def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
         rows = settle(rows, "open")
 
 
-def _small(df: DataFrame, width: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows times ``width`` bytes allow it."""
-    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
-
-
-def rejected(articles: DataFrame, latest: int = LATEST) -> DataFrame:
+def rejected(articles: DataFrame, path: str | None = None) -> DataFrame:
     """(rec_no) of the rows not accepted, batch_no after batch_no; rows without a batch come last.
 
-    The ``latest`` batches are each checked against the history; the backlog before them is
-    one load, decided in the same order. The result does not depend on ``latest``.
+    Each batch is checked against the history at ``path``, which goes on from what it holds,
+    and its accepted rows are appended. Without a path the history is removed at the end.
     """
     spark = articles.sparkSession
-    history, made = History(spark), None
+    history, made = History(spark, path or new_path(spark, "history")), []
     batches = sorted((r[0] for r in articles.select("batch_no").distinct().collect()), key=lambda b: (b is None, b))
-    backlog, single = batches[: max(0, len(batches) - latest)], batches[max(0, len(batches) - latest) :]
-    b = F.col("batch_no")
-    before = b.isin([x for x in backlog if x is not None])
-    parts = [articles.filter(before | b.isNull() if None in backlog else before)] if backlog else []
-    parts += [articles.filter(F.col("batch_no").eqNullSafe(F.lit(b))) for b in single]
+    parts = [articles.filter(F.col("batch_no").eqNullSafe(F.lit(b))) for b in batches]
     with ThreadPoolExecutor(1) as ahead:  # the next batch is prepared while one is checked
         rows = ahead.submit(history.prepare, parts[0]) if parts else None
         for k in range(len(parts)):
             current = rows.result()
             rows = ahead.submit(history.prepare, parts[k + 1]) if k + 1 < len(parts) else None
             taken, others = history.check(current)
-            made = others if made is None else made.unionByName(others)
-            if rows is not None:
-                history.append(taken)
-    if made is None:
-        return articles.select("rec_no").limit(0)
-    made = settle(made, "rejected")
-    history.close()
-    return made
+            made.append(settle(others, "rejected"))
+            history.append(taken)
+    if not path:
+        remove(spark, history.path)
+    out = articles.select(F.col("rec_no").cast("bigint").alias("rec_no")).limit(0)
+    for others in made:
+        out = out.unionByName(others)
+    return out

@@ -31,10 +31,12 @@ BITS, BUDGET = 128, 38
 TRIE_TEXTS = 4000
 
 
-def min_hashes(texts: list[str]) -> np.ndarray:
-    """PASSES * BINS min-hashes of each text; an empty bin takes a fixed other bin's value."""
-    hashes, owner = shingle_hashes(texts)
-    n, made = len(texts), []
+def min_hashes(hashes: tuple[np.ndarray, np.ndarray], texts: int) -> np.ndarray:
+    """PASSES * BINS min-hashes of each of ``texts`` texts from the (hash, text) of their shingles.
+
+    An empty bin takes a fixed other bin's value.
+    """
+    (hashes, owner), n, made = hashes, texts, []
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     for p in range(PASSES):
         h = mix(hashes, p) if p else hashes
@@ -113,7 +115,7 @@ class _Sketch:
         rows = self.compared(part)
         first = {h: k for k, h in reversed(list(enumerate(rows["h"])))}
         chosen = sorted(first.values())
-        values = min_hashes([rows["text"][k] for k in chosen])
+        values = min_hashes(shingle_hashes([rows["text"][k] for k in chosen]), len(chosen))
         high, low, bands = sketches(values) if chosen else (np.zeros(0, np.int64),) * 2 + (np.zeros((0, BANDS), np.int64),)
         place = {k: n for n, k in enumerate(chosen)}
         n = len(rows["h"])

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from archivolt.llm import history, neardup, shingles
+from archivolt.llm import history, keyed, neardup, shingles
 from archivolt.llm.forms import comparable
 
 
@@ -79,7 +80,7 @@ def test_instants():
         assert history.instant(bad) is None
 
 
-def test_history_against_a_pass_in_order(spark, rows):
+def test_history_against_a_pass_in_order(spark, rows, tmp_path):
     rng = random.Random(9)
     times = ["2024-01-15T08:30:00Z", "2024-01-15T16:29:00+08:00", None, "unknown", "2025-01-01T00:00:00Z"]
     table = [(k, rng.choice([1, 2, None]), t, c, rng.choice([None, *(f"web_{x}" for x in range(150))]), rng.choice(times)) for k, (t, c) in enumerate(rows)]
@@ -97,6 +98,30 @@ def test_history_against_a_pass_in_order(spark, rows):
         else:
             accepted.add(r[0])
             ids |= {r[4]} - {None}
-    for latest in (0, 1, 3):
-        assert {r.rec_no for r in history.rejected(df, latest).collect()} == rejected
+    assert {r.rec_no for r in history.rejected(df).collect()} == rejected
     assert history.rejected(df.limit(0)).count() == 0
+    path = f"file://{tmp_path}/history"  # batch by batch, each in a session that opens what the one before left
+    got = set()
+    for batch in (1, 2, None):
+        part = spark.newSession().createDataFrame(df.filter(F.col("batch_no").eqNullSafe(F.lit(batch))).collect(), df.schema)
+        got |= {r.rec_no for r in history.rejected(part, path).collect()}
+    assert got == rejected and history.History(spark, path).appended == 3
+
+
+def test_a_batch_reads_by_key(spark, tmp_path, monkeypatch):
+    """What a lookup reads follows the asked keys: the row groups read stay the same while the table grows eightfold."""
+    monkeypatch.setattr(keyed, "GROUP_BYTES", 4096)
+    read = {}
+    schema = keyed.StructType().add("k", "long").add("body", "string")
+    asked = spark.range(6).select((F.col("id") * 1_000_003 + 17).alias("want"))
+    for n in (1, 8):
+        rows = spark.range(20_000 * n).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("body"))
+        path = f"file://{tmp_path}/t{n}"
+        hits = rows.unionByName(asked.select(F.col("want").alias("k"), F.lit("hit").alias("body")))
+        keyed.write(hits, path, "k", 4)
+        got = keyed.lookup(asked, "want", [path], schema, "k", 4)
+        assert {r.want for r in got.filter("body = 'hit'").collect()} == {k * 1_000_003 + 17 for k in range(6)}
+        folder = f"{tmp_path}/t{n}/bucket=1"
+        want = keyed.np.array(sorted(k for k in (j * 1_000_003 + 17 for j in range(6)) if k % 4 == 1))
+        read[n] = sum(1 for _ in keyed._groups(folder, want, "k", ["k"]))
+    assert 0 < read[8] <= read[1] + 1
