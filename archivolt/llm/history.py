@@ -3,8 +3,7 @@
 The history is an inverted index in a folder of its own, which a later session opens again:
 postings of the rare tokens of every accepted text, in buckets by token and sorted, beside
 the accepted ids and texts, in buckets by their hashes and sorted. A batch probes the index
-with its own tokens, ids and text hashes, keeps pairs whose lengths and sketches allow the
-similarity, verifies their overlap exactly, decides its rows in order, and appends the
+with its own tokens, ids and text hashes, keeps pairs whose sketches allow the similarity, verifies their overlap exactly, decides its rows in order, and appends the
 accepted ones. What a batch reads follows its own keys (see ``keyed``).
 """
 
@@ -23,7 +22,8 @@ from pyspark.sql.types import StructType
 
 from archivolt.llm import keyed
 from archivolt.llm.arrow import int_lists, map_slices
-from archivolt.llm.neardup import BUDGET, _join_tries, _tries, min_hashes, sketches
+from archivolt.llm.neardup import BINS, BUDGET, _once, min_hashes, sketches
+from archivolt.llm.neardup import ROWS as BAND_ROWS
 from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, shingle_hashes, verified
 from archivolt.workspace import new_path, remove, settle
 
@@ -44,16 +44,16 @@ def instant(value: str | None) -> int | None:
     return round(moment.timestamp() * 1_000_000)
 
 
-ROWS = "rec_no bigint, id string, batch_no int, t bigint, h bigint, s1 bigint, s2 bigint, size int, bands array<bigint>, text string"
+ROWS = "rec_no bigint, id string, batch_no int, t bigint, h bigint, s1 bigint, s2 bigint, bands array<bigint>, text string"
 #: Stored tables; every one is sorted by its first column.
-POSTINGS: StructType = StructType().add("token", "long").add("g", "long").add("g_size", "integer")
+POSTINGS: StructType = StructType().add("token", "long").add("g", "long")
 TEXTS: StructType = StructType().add("k", "long").add("t1", "long").add("t2", "long").add("old_text", "string")
 IDS: StructType = StructType().add("id_hash", "long").add("old_id", "string")
-CLASSES: StructType = StructType().add("c", "long")
+CLASSES: StructType = StructType().add("k", "long")
 
 
 class _Rows:
-    """Rows of a batch with id, instant and class, and once a text of the slice its sketch, size and tokens."""
+    """Rows of a batch with id, instant and class, and once a text of the slice its sketch and tokens."""
 
     def __init__(self, least: int):
         self.compared = _Comparable("_row", "title", "content", least)
@@ -70,24 +70,19 @@ class _Rows:
                 first[h] = (k, text)
                 texts[k] = text
         chosen = list(first.values())
-        s1, s2, size, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n + 1, np.int64)
+        s1, s2, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
         tokens = np.zeros((0, TOKENS), np.int64)
         if chosen:
-            hashes = shingle_hashes([text for _, text in chosen])
-            high, low, tokens = sketches(min_hashes(hashes=hashes, texts=len(chosen)))
-            tokens, at = tokens[:, :TOKENS], [k for k, _ in chosen]
+            values = min_hashes(shingle_hashes([text for _, text in chosen]), len(chosen), -(-TOKENS * BAND_ROWS // BINS))
+            high, low, tokens = sketches(values, TOKENS)
+            at = [k for k, _ in chosen]
             s1[at], s2[at], lengths[np.array(at) + 1] = high, low, TOKENS
-            owner, mixed = hashes[1], np.lexsort(hashes)
-            new = np.ones(len(mixed), bool)
-            new[1:] = (hashes[0][mixed][1:] != hashes[0][mixed][:-1]) | (owner[mixed][1:] != owner[mixed][:-1])
-            size[at] = np.bincount(owner[mixed][new], minlength=len(chosen))
         return {
             **{c: part.column(c) for c in ("rec_no", "id", "batch_no")},
             "t": [instant(x) for x in part.column("saved_at").to_pylist()],
             "h": pa.array(classes, pa.int64()),
             "s1": s1,
             "s2": s2,
-            "size": size,
             "bands": int_lists(tokens.ravel(), np.cumsum(lengths), pa.int64()),
             "text": pa.array(texts, pa.string()),
         }
@@ -117,8 +112,8 @@ class History:
         """Folders of all appends of a stored table."""
         return [f"{self.path}/{table}/{n}" for n in range(self.appended)]
 
-    def _lookup(self, asked: DataFrame, key: str, table: str, schema: StructType) -> DataFrame:
-        return keyed.lookup(asked, key, self.parts(table), schema, schema.names[0], self.buckets)
+    def _lookup(self, asked: DataFrame, key: str, table: str, schema: StructType, among: dict[str, str] | None = None) -> DataFrame:
+        return keyed.lookup(asked, key, self.parts(table), schema, schema.names[0], self.buckets, among)
 
     def prepare(self, batch: DataFrame) -> DataFrame:
         """The rows of a batch, ready to be checked; needs nothing of the history."""
@@ -132,16 +127,17 @@ class History:
         A row is accepted unless an accepted row of this or an earlier batch has its id (null
         equals nothing) or a text similar to its own.
         """
-        texts = settle(rows.filter("text is not null").select("h", "s1", "s2", "size", "bands", "text").dropDuplicates(["h"]), "texts")
-        probes = texts.select("h", "s1", "s2", "size", F.explode("bands").alias("probe"))
-        tries = _tries(texts.select("h", "s1", "s2", "bands")).repartition("band", "block").sortWithinPartitions("band", "block")
-        inside = tries.mapInArrow(_join_tries, "a bigint, b bigint").distinct().select(F.col("a").alias("h"), F.col("b").alias("g"))
-        outside = self._lookup(probes, "probe", "postings", POSTINGS)
-        near = F.least("size", "g_size") >= self.threshold * F.greatest("size", "g_size")
-        outside = outside.filter(near).select("h", "s1", "s2", "g").distinct()
-        old = self._lookup(outside, "g", "texts", TEXTS)
+        texts = _once(rows.filter("text is not null").select("h", "s1", "s2", "bands", "text"))
+        probes = texts.select(F.explode("bands").alias("probe"), "h")
+        shared = self._lookup(probes, "probe", "postings", POSTINGS, {"token": "probe", "g": "h"})
+        ordered = [F.when(F.col("stored"), F.col(c)).otherwise(end("h", "g")).alias(c) for c, end in (("h", F.least), ("g", F.greatest))]
+        shared = settle(shared.select(*ordered, "stored").distinct(), "shared-tokens")
+        sketch = texts.select("h", "s1", "s2")
         differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+        old = self._lookup(shared.filter("stored").select("h", "g").join(sketch, "h"), "g", "texts", TEXTS)
         old = old.filter(differ <= BUDGET).select("h", F.col("old_text").alias("_text_b"))
+        theirs = sketch.select(F.col("h").alias("g"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+        inside = shared.filter("NOT stored").select("h", "g").join(sketch, "h").join(theirs, "g").filter(differ <= BUDGET).select("h", "g")
         own = texts.select("h", F.col("text").alias("_text_a"))
         new = inside.join(own, "h").join(texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g")
         past = settle(verified(old.join(own, "h"), ["h"], self.threshold).distinct(), "past-links")
@@ -151,7 +147,7 @@ class History:
         if self.appended:
             ids = rows.filter("id is not null").select("id").distinct().withColumn("_id_hash", F.xxhash64("id"))
             known_ids = self._lookup(ids, "_id_hash", "ids", IDS).filter("id = old_id").select("id")
-            same = self._lookup(texts.select("h"), "h", "classes", CLASSES).select("h")
+            same = self._lookup(texts.select("h"), "h", "texts", CLASSES).select("h")
             closed = past.select("h").unionByName(same).distinct()
             open_rows = open_rows.join(known_ids.distinct(), "id", "left_anti").join(closed, "h", "left_anti")
         accepted = _in_order(open_rows, links)
@@ -162,9 +158,8 @@ class History:
     def append(self, taken: DataFrame) -> None:
         """Take the accepted rows of the batch last checked into the history."""
         texts, n = self._checked, self.appended
-        keyed.write(texts.select(F.explode("bands").alias("token"), F.col("h").alias("g"), F.col("size").alias("g_size")), f"{self.path}/postings/{n}", "token", self.buckets)
+        keyed.write(texts.select(F.explode("bands").alias("token"), F.col("h").alias("g")), f"{self.path}/postings/{n}", "token", self.buckets)
         keyed.write(texts.select(F.col("h").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("text").alias("old_text")), f"{self.path}/texts/{n}", "k", self.buckets)
-        keyed.write(texts.select(F.col("h").alias("c")), f"{self.path}/classes/{n}", "c", self.buckets)
         ids = taken.filter("id is not null").select(F.xxhash64("id").alias("id_hash"), F.col("id").alias("old_id")).distinct()
         keyed.write(ids, f"{self.path}/ids/{n}", "id_hash", self.buckets)
         mark = json.dumps({"append": n, "buckets": self.buckets})

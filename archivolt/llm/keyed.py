@@ -30,64 +30,68 @@ def bucket(key: str, buckets: int) -> Column:
 
 def write(df: DataFrame, path: str, key: str, buckets: int) -> None:
     """Write one part: ``df`` in buckets of the bigint ``key``, sorted; a part written before is replaced."""
-    rows = df.withColumn("bucket", bucket(key, buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", key)
+    rows = df.withColumn("bucket", bucket(key, buckets)).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", key)
     rows.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(path)
 
 
-def lookup(asked: DataFrame, key: str, parts: list[str], schema: StructType, stored: str, buckets: int) -> DataFrame:
+def lookup(asked: DataFrame, key: str, parts: list[str], schema: StructType, stored: str, buckets: int, among: dict[str, str] | None = None) -> DataFrame:
     """``asked`` with the columns of every stored row whose ``stored`` key equals its ``key``.
 
     Column names of both sides differ. ``asked`` is shuffled to the buckets; of the parts only
-    row groups that may hold a key are read. File systems that are not mounted as folders are
-    read with a join instead, with the same result.
+    row groups that may hold a key are read. With ``among``, which names the asked column of
+    each stored one, asked rows also match each other, each pair once in either order, and a
+    column ``stored`` tells both kinds apart. File systems that are not mounted as folders
+    are read with a join instead, with the same result.
     """
-    columns = [*asked.columns, *schema.names]
-    if not parts:
-        return asked.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).limit(0)
-    if not all(p.startswith("file:") or "://" not in p for p in parts):
-        spark = asked.sparkSession
-        return asked.join(spark.read.schema(schema).parquet(*parts), F.col(key) == F.col(stored)).select(*columns)
-    folders = [p.partition(":")[2] if p.startswith("file:") else p for p in parts]
-    target = to_arrow_schema(StructType([*asked.schema.fields, *schema.fields]))
+    made = StructType([*asked.schema.fields, *schema.fields])
+    if among:
+        made = made.add("stored", "boolean")
+    target, source = to_arrow_schema(made), to_arrow_schema(asked.schema)
     names, fields = asked.columns, schema.names
+    own = [among[f] for f in fields] if among else []
+    folders = [p.partition(":")[2] if p.startswith("file:") else p for p in parts]
+    far = not all(p.startswith("file:") or "://" not in p for p in parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-        for batch in batches:
-            at = batch.column("_bucket").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True):
-                if a < b:
-                    if held and at[a] != current:
-                        yield from found(current, held)
-                        held = []
-                    current = at[a]
-                    held.append(batch.slice(a, b - a))
-        if held:
-            yield from found(current, held)
-
-    def found(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
+        table = pa.Table.from_batches(list(batches), source) if not far or among else None
+        if table is None or not table.num_rows:
+            return
+        table = table.combine_chunks()
         keys = table.column(key).to_numpy()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
-        for folder in folders:
-            for groups in _groups(f"{folder}/bucket={number}", keys, stored, fields):
-                theirs = groups.column(stored).to_numpy()
-                first, last = np.searchsorted(keys, theirs, "left"), np.searchsorted(keys, theirs, "right")
-                times = last - first
-                if not times.any():
-                    continue
-                right = np.repeat(np.arange(len(theirs)), times)
-                left = order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)]
-                for k in range(0, len(left), MATCHES):
-                    mine, other = table.take(pa.array(left[k : k + MATCHES])), groups.take(pa.array(right[k : k + MATCHES]))
-                    arrays = [*(mine.column(c) for c in names), *(other.column(c) for c in fields)]
-                    yield from pa.Table.from_arrays([a.cast(f.type) for a, f in zip(arrays, target, strict=True)], schema=target).combine_chunks().to_batches()
-
-    rows = asked.filter(F.col(key).isNotNull()).withColumn("_bucket", bucket(key, buckets))
-    rows = rows.repartition(buckets, "_bucket").sortWithinPartitions("_bucket")
-    return rows.mapInArrow(run, StructType([*asked.schema.fields, *schema.fields]))
+
+        def matched(left: np.ndarray, right: np.ndarray, other: pa.Table, columns: list[str], flag: bool) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(left), MATCHES):
+                mine, theirs = table.take(pa.array(left[k : k + MATCHES])), other.take(pa.array(right[k : k + MATCHES]))
+                arrays = [*(mine.column(c) for c in names), *(theirs.column(c) for c in columns)]
+                arrays += [pa.chunked_array([pa.repeat(flag, mine.num_rows)])] if among else []
+                yield from pa.Table.from_arrays([a.cast(f.type) for a, f in zip(arrays, target, strict=True)], schema=target).combine_chunks().to_batches()
+
+        if among:
+            ends, place, step = np.searchsorted(keys, keys, "right"), np.arange(len(keys)), 1
+            while len(place := place[place + step < ends[place]]):
+                yield from matched(order[place], order[place + step], table, own, False)
+                step += 1
+        if not far:
+            number = int(keys[0] % buckets)
+            for folder in folders:
+                for group in _groups(f"{folder}/bucket={number}", keys, stored, fields):
+                    theirs = group.column(stored).to_numpy()
+                    first, last = np.searchsorted(keys, theirs, "left"), np.searchsorted(keys, theirs, "right")
+                    times = last - first
+                    if times.any():
+                        right = np.repeat(np.arange(len(theirs)), times)
+                        left = order[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)]
+                        yield from matched(left, right, group, fields, True)
+
+    rows = asked.filter(F.col(key).isNotNull()).repartitionById(buckets, bucket(key, buckets))
+    found = rows.mapInArrow(run, made) if among or not far else None
+    if not far:
+        return found
+    known = asked.sparkSession.read.schema(schema).parquet(*parts)
+    joined = asked.join(known, F.col(key) == F.col(stored)).select(*names, *fields)
+    return found.unionByName(joined.withColumn("stored", F.lit(True))) if among else joined
 
 
 def _groups(folder: str, keys: np.ndarray, stored: str, fields: list[str]) -> Iterator[pa.Table]:

@@ -31,14 +31,14 @@ BITS, BUDGET = 128, 38
 TRIE_TEXTS = 4000
 
 
-def min_hashes(hashes: tuple[np.ndarray, np.ndarray], texts: int) -> np.ndarray:
-    """PASSES * BINS min-hashes of each of ``texts`` texts from the (hash, text) of their shingles.
+def min_hashes(hashes: tuple[np.ndarray, np.ndarray], texts: int, passes: int = PASSES) -> np.ndarray:
+    """``passes`` * BINS min-hashes of each of ``texts`` texts from the (hash, text) of their shingles.
 
     An empty bin takes a fixed other bin's value.
     """
     (hashes, owner), n, made = hashes, texts, []
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for p in range(PASSES):
+    for p in range(passes):
         h = mix(hashes, p) if p else hashes
         place = owner * BINS + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
         least = np.full(n * BINS, empty)
@@ -56,12 +56,12 @@ def min_hashes(hashes: tuple[np.ndarray, np.ndarray], texts: int) -> np.ndarray:
     return np.concatenate(made, axis=1)
 
 
-def sketches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(high and low half of the sketch, band keys) from min-hashes."""
+def sketches(values: np.ndarray, count: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(high and low half of the sketch, ``count`` band keys) from min-hashes."""
     bits = (mix(values[:, :BITS], 7) & np.uint64(1)).astype(np.uint8)
     packed = np.packbits(bits, axis=1).view(">u8").astype(np.uint64)
-    bands = values[:, : BANDS * ROWS].reshape(len(values), BANDS, ROWS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2]).copy()
+    bands = values[:, : count * ROWS].reshape(len(values), count, ROWS)
+    key = np.broadcast_to(np.arange(count, dtype=np.uint64), bands.shape[:2]).copy()
     for k in range(ROWS):
         key = mix(key ^ bands[:, :, k], 11 + k)
     return packed[:, 0].view(np.int64), packed[:, 1].view(np.int64), key.view(np.int64)
@@ -79,7 +79,7 @@ def trie_join(codes: list[int], budget: int, bits: int = BITS) -> Iterator[tuple
         if wrong > budget or b - a <= 0 or d - c <= 0:
             continue
         same = a == c
-        if (b - a) * (d - c) <= 16 or depth == 0:
+        if (b - a) * (d - c) <= 1 or depth == 0:
             for i in range(a, b):
                 for j in range(i + 1 if same else c, d):
                     if (codes[i] ^ codes[j]).bit_count() <= budget:
@@ -172,13 +172,22 @@ def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield record_batch({"a": left_a, "b": left_b}, target)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each ``h``. Rows of texts that only one slice holds stay where they are while the rest is small."""
+    repeated = settle(rows.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h"), "repeated")
+    if repeated.count() * 8 > BROADCAST_BYTES:
+        return rows.dropDuplicates(["h"])
+    repeated = F.broadcast(repeated)
+    return rows.join(repeated, "h", "left_anti").unionByName(rows.join(repeated, "h", "left_semi").dropDuplicates(["h"]))
+
+
 def _tries(rows: DataFrame) -> DataFrame:
-    """(band, block, salt, h, s1, s2): one row for each trie a text goes to.
+    """(band, block, salt, h, s1, s2): one row for each trie a text goes to; ``rows`` holds each text once.
 
     Bands that hold more than about TRIE_TEXTS texts, seen in one text of 64, are split
     into blocks by a salt; each pair of blocks is a trie of its own.
     """
-    bands = rows.filter(F.size("bands") > 0).select("h", "s1", "s2", F.explode("bands").alias("band"))
+    bands = rows.select("h", "s1", "s2", F.explode("bands").alias("band"))
     hot = (
         bands.filter(F.pmod(F.xxhash64("h"), F.lit(64)) == 0)
         .groupBy("band")
@@ -214,7 +223,7 @@ class NearDuplicates:
         rows = settle(map_slices(df.select(key, title, content), schema, _Sketch(key, title, content, least)), "sketches")
         #: (key, h): the class of every compared row.
         self.members = rows.select(key, "h")
-        tries = _tries(rows).repartition("band", "block").sortWithinPartitions("band", "block")
+        tries = _tries(_once(rows.filter(F.size("bands") > 0).select("h", "s1", "s2", "bands"))).repartition("band", "block").sortWithinPartitions("band", "block")
         candidates = settle(tries.mapInArrow(_join_tries, "a bigint, b bigint").distinct(), "candidates")
         wanted = candidates.select(F.explode(F.array("a", "b")).alias("h")).distinct()
         stands_for = settle(self.members.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(key).alias(key)), "classes")
