@@ -115,51 +115,59 @@ class History:
     def _lookup(self, asked: DataFrame, key: str, table: str, schema: StructType, among: dict[str, str] | None = None) -> DataFrame:
         return keyed.lookup(asked, key, self.parts(table), schema, schema.names[0], self.buckets, among)
 
-    def prepare(self, batch: DataFrame) -> DataFrame:
-        """The rows of a batch, ready to be checked; needs nothing of the history."""
+    def prepare(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows, texts) of a batch, ready to be checked; needs nothing of the history.
+
+        ``texts`` has each distinct compared text once, without the text itself, which is
+        in the row ``keeper``.
+        """
         columns = [F.col("rec_no").cast("bigint"), "id", F.col("batch_no").cast("int"), "saved_at", "title", "content"]
-        return settle(map_slices(batch.select(*columns), ROWS, _Rows(self.least)), "batch")
+        rows = settle(map_slices(batch.select(*columns), ROWS, _Rows(self.least)), "batch")
+        texts = _once(rows.filter("text is not null").select("h", "s1", "s2", "bands", F.col("rec_no").alias("keeper")))
+        return rows, settle(texts, "batch-texts")
 
-    def check(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def check(self, rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(accepted rows, rec_no of the others) of a prepared batch.
 
         Rows come in order of batch_no, of the instant of saved_at (none last), then of rec_no.
         A row is accepted unless an accepted row of this or an earlier batch has its id (null
         equals nothing) or a text similar to its own.
         """
-        texts = _once(rows.filter("text is not null").select("h", "s1", "s2", "bands", "text"))
         probes = texts.select(F.explode("bands").alias("probe"), "h")
         shared = self._lookup(probes, "probe", "postings", POSTINGS, {"token": "probe", "g": "h"})
         ordered = [F.when(F.col("stored"), F.col(c)).otherwise(end("h", "g")).alias(c) for c, end in (("h", F.least), ("g", F.greatest))]
-        shared = settle(shared.select(*ordered, "stored").distinct(), "shared-tokens")
-        sketch = texts.select("h", "s1", "s2")
+        shared = shared.select(*ordered, "stored").distinct().join(texts.select("h", "s1", "s2"), "h")
+        shared = settle(shared, "shared-tokens")
         differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        old = self._lookup(shared.filter("stored").select("h", "g").join(sketch, "h"), "g", "texts", TEXTS)
-        old = old.filter(differ <= BUDGET).select("h", F.col("old_text").alias("_text_b"))
-        theirs = sketch.select(F.col("h").alias("g"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-        inside = shared.filter("NOT stored").select("h", "g").join(sketch, "h").join(theirs, "g").filter(differ <= BUDGET).select("h", "g")
-        own = texts.select("h", F.col("text").alias("_text_a"))
-        new = inside.join(own, "h").join(texts.select(F.col("h").alias("g"), F.col("text").alias("_text_b")), "g")
-        past = settle(verified(old.join(own, "h"), ["h"], self.threshold).distinct(), "past-links")
-        links = settle(verified(new, ["h", "g"], self.threshold), "links")
+        theirs = texts.select(F.col("h").alias("g"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+        near = shared.filter("NOT stored").join(theirs, "g").filter(differ <= BUDGET).select("h", "g", F.lit(None).cast("string").alias("old_text"))
+        if self.appended:
+            old = self._lookup(shared.filter("stored").select("h", "g", "s1", "s2"), "g", "texts", TEXTS)
+            near = near.unionByName(old.filter(differ <= BUDGET).select("h", F.lit(None).cast("bigint").alias("g"), "old_text"))
+        near = settle(near, "near")
+        wanted = near.select(F.explode(F.array("h", "g")).alias("h")).filter("h is not null").distinct()
+        own = settle(rows.filter("text is not null").select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "near-texts")
+        pairs = near.join(own.select("h", F.col("text").alias("_text_a")), "h").join(own.select(F.col("h").alias("g"), "text"), "g", "left")
+        links = settle(verified(pairs.withColumn("_text_b", F.coalesce("text", "old_text")), ["h", "g"], self.threshold).distinct(), "links")
         order = F.struct(F.col("batch_no").isNull().alias("last"), F.coalesce("batch_no", F.lit(0)).alias("b"), F.col("t").isNull().alias("late"), F.coalesce("t", F.lit(0)).alias("t"), "rec_no")
         open_rows = rows.select("rec_no", "id", "h", order.alias("ord"))
         if self.appended:
             ids = rows.filter("id is not null").select("id").distinct().withColumn("_id_hash", F.xxhash64("id"))
             known_ids = self._lookup(ids, "_id_hash", "ids", IDS).filter("id = old_id").select("id")
             same = self._lookup(texts.select("h"), "h", "texts", CLASSES).select("h")
-            closed = past.select("h").unionByName(same).distinct()
-            open_rows = open_rows.join(known_ids.distinct(), "id", "left_anti").join(closed, "h", "left_anti")
-        accepted = _in_order(open_rows, links)
+            closed = links.filter("g is null").select("h").unionByName(same).distinct()
+            open_rows = settle(open_rows.join(known_ids.distinct(), "id", "left_anti").join(closed, "h", "left_anti"), "open")
+        accepted = _in_order(open_rows, links.filter("g is not null"))
         taken = settle(rows.select("rec_no", "id", "h").join(accepted, "rec_no", "left_semi"), "accepted")
-        self._checked = texts.join(taken.select("h").distinct(), "h", "left_semi")
         return taken, rows.select("rec_no").join(taken.select("rec_no"), "rec_no", "left_anti")
 
-    def append(self, taken: DataFrame) -> None:
-        """Take the accepted rows of the batch last checked into the history."""
-        texts, n = self._checked, self.appended
-        keyed.write(texts.select(F.explode("bands").alias("token"), F.col("h").alias("g")), f"{self.path}/postings/{n}", "token", self.buckets)
-        keyed.write(texts.select(F.col("h").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("text").alias("old_text")), f"{self.path}/texts/{n}", "k", self.buckets)
+    def append(self, taken: DataFrame, rows: DataFrame, texts: DataFrame) -> None:
+        """Take the accepted rows of a checked batch into the history."""
+        n = self.appended
+        kept = settle(texts.join(taken.filter("h is not null").select("h").distinct(), "h", "left_semi"), "kept")
+        keyed.write(kept.select(F.explode("bands").alias("token"), F.col("h").alias("g")), f"{self.path}/postings/{n}", "token", self.buckets)
+        stored = rows.join(kept.select(F.col("keeper").alias("rec_no")), "rec_no", "left_semi")
+        keyed.write(stored.select(F.col("h").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("text").alias("old_text")), f"{self.path}/texts/{n}", "k", self.buckets)
         ids = taken.filter("id is not null").select(F.xxhash64("id").alias("id_hash"), F.col("id").alias("old_id")).distinct()
         keyed.write(ids, f"{self.path}/ids/{n}", "id_hash", self.buckets)
         mark = json.dumps({"append": n, "buckets": self.buckets})
@@ -173,8 +181,13 @@ def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
     In each round a row is accepted if it comes first among the open rows of its id, of its
     text and of all linked texts; rows an accepted one excludes are closed.
     """
-    both = links.unionByName(links.select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct()
-    accepted = None
+    both = settle(links.unionByName(links.select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct(), "both-ways")
+    repeated = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).filter("_n > 1").select(c, F.lit(True).alias(f"_{c}"))
+    linked = both.select("h").distinct().withColumn("_l", F.lit(True))
+    rows = rows.join(repeated("id"), "id", "left").join(repeated("h"), "h", "left").join(linked, "h", "left")
+    rows = settle(rows.select("rec_no", "id", "h", "ord", F.coalesce("_id", "_h", "_l", F.lit(False)).alias("_bound")), "bound")
+    accepted = rows.filter("NOT _bound").select("rec_no")  # nothing in the batch bears on these
+    rows = rows.filter("_bound").drop("_bound")
     while True:
         ids = rows.filter("id is not null").groupBy("id").agg(F.min("ord").alias("_id"))
         texts = rows.filter("h is not null").groupBy("h").agg(F.min("ord").alias("_h"))
@@ -187,7 +200,7 @@ def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
         )
         decided = settle(ranked.select("rec_no", "id", "h", "ord", first.alias("first")), "decided")
         taken = decided.filter("first")
-        accepted = taken.select("rec_no") if accepted is None else accepted.unionByName(taken.select("rec_no"))
+        accepted = accepted.unionByName(taken.select("rec_no"))
         closed = taken.filter("h is not null").select("h")
         closed = closed.unionByName(closed.withColumnRenamed("h", "g").join(both, "g").select("h"))
         rows = (
@@ -216,9 +229,9 @@ def rejected(articles: DataFrame, path: str | None = None) -> DataFrame:
         for k in range(len(parts)):
             current = rows.result()
             rows = ahead.submit(history.prepare, parts[k + 1]) if k + 1 < len(parts) else None
-            taken, others = history.check(current)
+            taken, others = history.check(*current)
             made.append(settle(others, "rejected"))
-            history.append(taken)
+            history.append(taken, *current)
     if not path:
         remove(spark, history.path)
     out = articles.select(F.col("rec_no").cast("bigint").alias("rec_no")).limit(0)

@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of a row group, and matches that a lookup puts into one batch.
 GROUP_BYTES, MATCHES = 256 << 10, 4096
@@ -43,20 +43,20 @@ def lookup(asked: DataFrame, key: str, parts: list[str], schema: StructType, sto
     column ``stored`` tells both kinds apart. File systems that are not mounted as folders
     are read with a join instead, with the same result.
     """
-    made = StructType([*asked.schema.fields, *schema.fields])
+    made = StructType([StructField(f.name, f.dataType) for f in (*asked.schema.fields, *schema.fields)])
     if among:
         made = made.add("stored", "boolean")
-    target, source = to_arrow_schema(made), to_arrow_schema(asked.schema)
+    target, source = to_arrow_schema(made), to_arrow_schema(StructType(made.fields[: len(asked.columns)]))
     names, fields = asked.columns, schema.names
     own = [among[f] for f in fields] if among else []
     folders = [p.partition(":")[2] if p.startswith("file:") else p for p in parts]
     far = not all(p.startswith("file:") or "://" not in p for p in parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), source) if not far or among else None
-        if table is None or not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(held).cast(source).combine_chunks()
         keys = table.column(key).to_numpy()
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
