@@ -25,7 +25,7 @@ from archivolt.llm.arrow import int_lists, map_slices
 from archivolt.llm.neardup import BINS, BUDGET, _once, min_hashes, sketches
 from archivolt.llm.neardup import ROWS as BAND_ROWS
 from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, shingle_hashes, verified
-from archivolt.workspace import new_path, remove, settle
+from archivolt.workspace import BROADCAST_BYTES, new_path, remove, settle
 
 #: Tokens of a text: conjunctions of five min-hashed shingles, rare by their build. A pair of
 #: similarity 0.7 shares one of 48 with probability 0.9999, of 0.75 almost surely.
@@ -136,16 +136,16 @@ class History:
         probes = texts.select(F.explode("bands").alias("probe"), "h")
         shared = self._lookup(probes, "probe", "postings", POSTINGS, {"token": "probe", "g": "h"})
         ordered = [F.when(F.col("stored"), F.col(c)).otherwise(end("h", "g")).alias(c) for c, end in (("h", F.least), ("g", F.greatest))]
-        shared = shared.select(*ordered, "stored").distinct().join(texts.select("h", "s1", "s2"), "h")
+        shared = shared.select(*ordered, "stored").distinct().join(_small(texts.select("h", "s1", "s2"), 24), "h")
         shared = settle(shared, "shared-tokens")
         differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        theirs = texts.select(F.col("h").alias("g"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+        theirs = _small(texts.select(F.col("h").alias("g"), F.col("s1").alias("t1"), F.col("s2").alias("t2")), 24)
         near = shared.filter("NOT stored").join(theirs, "g").filter(differ <= BUDGET).select("h", "g", F.lit(None).cast("string").alias("old_text"))
         if self.appended:
             old = self._lookup(shared.filter("stored").select("h", "g", "s1", "s2"), "g", "texts", TEXTS)
             near = near.unionByName(old.filter(differ <= BUDGET).select("h", F.lit(None).cast("bigint").alias("g"), "old_text"))
         near = settle(near, "near")
-        wanted = near.select(F.explode(F.array("h", "g")).alias("h")).filter("h is not null").distinct()
+        wanted = _small(near.select(F.explode(F.array("h", "g")).alias("h")).filter("h is not null").distinct(), 8)
         own = settle(rows.filter("text is not null").select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "near-texts")
         pairs = near.join(own.select("h", F.col("text").alias("_text_a")), "h").join(own.select(F.col("h").alias("g"), "text"), "g", "left")
         links = settle(verified(pairs.withColumn("_text_b", F.coalesce("text", "old_text")), ["h", "g"], self.threshold).distinct(), "links")
@@ -164,9 +164,9 @@ class History:
     def append(self, taken: DataFrame, rows: DataFrame, texts: DataFrame) -> None:
         """Take the accepted rows of a checked batch into the history."""
         n = self.appended
-        kept = settle(texts.join(taken.filter("h is not null").select("h").distinct(), "h", "left_semi"), "kept")
+        kept = settle(texts.join(_small(taken.filter("h is not null").select("h").distinct(), 8), "h", "left_semi"), "kept")
         keyed.write(kept.select(F.explode("bands").alias("token"), F.col("h").alias("g")), f"{self.path}/postings/{n}", "token", self.buckets)
-        stored = rows.join(kept.select(F.col("keeper").alias("rec_no")), "rec_no", "left_semi")
+        stored = rows.join(_small(kept.select(F.col("keeper").alias("rec_no")), 8), "rec_no", "left_semi")
         keyed.write(stored.select(F.col("h").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("text").alias("old_text")), f"{self.path}/texts/{n}", "k", self.buckets)
         ids = taken.filter("id is not null").select(F.xxhash64("id").alias("id_hash"), F.col("id").alias("old_id")).distinct()
         keyed.write(ids, f"{self.path}/ids/{n}", "id_hash", self.buckets)
@@ -214,6 +214,11 @@ def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
         rows = settle(rows, "open")
 
 
+def _small(df: DataFrame, width: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows times ``width`` bytes allow it."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
 def rejected(articles: DataFrame, path: str | None = None) -> DataFrame:
     """(rec_no) of the rows not accepted, batch_no after batch_no; rows without a batch come last.
 
