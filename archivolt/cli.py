@@ -1,4 +1,4 @@
-"""Command line over the archive's operators.
+"""Command line over the archive's jobs.
 
 Exit codes: 0 done, 1 stopped or not matching, 2 wrong arguments.
 """
@@ -6,46 +6,64 @@ Exit codes: 0 done, 1 stopped or not matching, 2 wrong arguments.
 from __future__ import annotations
 
 import argparse
-import json
 import sys
+import time
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.operators import archive, triage, validation
-from archivolt.sources import config, jsonl, paged
-
-ORDER = ["collection_id", "article_id", "article_url", "article_title"]
+from archivolt.operators import validation
+from archivolt.plans import jobs
+from archivolt.sources import config, files, jsonl, paged
+
+#: Options by name, with what argparse is told of them.
+OPTIONS: dict[str, dict] = {
+    "address": {"required": True, "help": "address or landed folder of the listing's pages"},
+    "list": {"type": Path, "required": True, "help": "file of addresses"},
+    "fixture": {"help": "landed document to read instead of a listing"},
+    "details": {"help": "table (kind, id, detail) of landed details, as JSON lines"},
+    "output": {"required": True},
+    "state": {"required": True, "help": "file, or folder for several jobs, of the places to go on from"},
+    "settings": {"type": Path, "help": "settings file with the cookie"},
+    "audit": {"help": "audit report; collections complete by it are left out"},
+    "report": {"required": True},
+    "raw": {"required": True, "help": "raw file, or folder of raw files"},
+    "folder": {"required": True, "help": "folder of the images"},
+    "manifest": {"required": True},
+    "log": {"help": "log of a batch"},
+    "bucket": {"action": "append", "default": [], "help": "added to keep_knowledge"},
+    "include-gifs": {"action": "store_true"},
+    "limit": {"type": int, "default": 5},
+    "images": {"type": int, "default": 20, "help": "images to save at most, 0 for all"},
+    "delay": {"type": float, "default": 2.0},
+    "pause": {"type": float, "default": 0.0, "help": "seconds between two listings of a batch"},
+    "attempts": {"type": int, "default": 3},
+}
+_HTTP = ("settings", "delay", "attempts")
+COMMANDS: dict[str, tuple[str, ...]] = {
+    "export": ("address", "fixture", "details", "output", "state", "limit", *_HTTP),
+    "export-author": ("address", "details", "output", "state", "limit", *_HTTP),
+    "export-batch": ("list", "details", "output", "state", "limit", "audit", "log", "pause", *_HTTP),
+    "audit": ("list", "report", *_HTTP),
+    "verify": ("report", "raw"),
+    "images": ("raw", "folder", "state", "images", "delay"),
+    "triage": ("raw", "report"),
+    "triage-download": ("report", "manifest", "folder", "state", "bucket", "include-gifs", "images", "delay"),
+    "index": ("manifest", "report", "output"),
+    "validate": ("raw",),
+}
 
 
 def parser() -> argparse.ArgumentParser:
     """The commands and their options."""
     made = argparse.ArgumentParser(prog="archivolt")
     verbs = made.add_subparsers(dest="verb", required=True)
-    for name in ("export", "export-batch", "audit"):
-        p = verbs.add_parser(name)
-        p.add_argument("--pages", required=name == "export", help="address or landed folder of listing pages")
-        p.add_argument("--list", type=Path, required=name != "export", help="file of addresses")
-        p.add_argument("--output", required=True)
-        p.add_argument("--offset", type=int, default=0)
-        p.add_argument("--limit", type=int, default=5)
-        p.add_argument("--delay", type=float, default=2.0)
-        p.add_argument("--attempts", type=int, default=3)
-    for name, options in (
-        ("verify", ("--audit", "--raw")),
-        ("triage", ("--raw", "--output")),
-        ("candidates", ("--items", "--output")),
-        ("index", ("--manifest", "--items", "--output")),
-        ("validate", ("--raw",)),
-    ):
-        p = verbs.add_parser(name)
+    for name, options in COMMANDS.items():
+        command = verbs.add_parser(name)
         for option in options:
-            p.add_argument(option, required=True)
-        if name == "candidates":
-            p.add_argument("--bucket", action="append", default=[], help="added to keep_knowledge")
-            p.add_argument("--include-gifs", action="store_true")
-            p.add_argument("--delay", type=float, default=2.0)
+            told = OPTIONS[option] | ({"required": False} if option == "address" and "fixture" in options else {})
+            command.add_argument(f"--{option}", **told)
     return made
 
 
@@ -55,67 +73,114 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         o = parser().parse_args(argv)
     except SystemExit as error:
         return int(error.code or 0)
-    spark = spark or SparkSession.builder.appName("archivolt").getOrCreate()
+    spark = spark or SparkSession.builder.appName("archivolt").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        return _run(o, spark)
+        return RUN[o.verb](spark, o)
     except (ValueError, paged.FetchError) as error:
         print(error, file=sys.stderr)
-        return 1
-
-
-def _raw(spark: SparkSession, path: str):
-    name = F.col("_metadata.file_name").alias("file")
-    rows = spark.read.schema(validation.ARTICLE).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(path)
-    return jsonl.raw_files(rows.select(name, "*")).withColumn("collection_id", jsonl.collection_of_file(F.col("file"), "-"))
-
-
-def _run(o: argparse.Namespace, spark: SparkSession) -> int:
-    if o.verb in ("export", "export-batch", "audit"):
-        spark.dataSource.register(paged.PagedSource)
-        addresses = [o.pages] if o.verb == "export" else config.addresses(o.list)
-        options = {"offset": str(o.offset), "limit": str(o.limit if o.verb != "audit" else 0), "delay": str(o.delay), "attempts": str(o.attempts)}
-        rows = spark.read.format("paged").options(**options).load(",".join(addresses))
-        if o.verb == "audit":
-            kind = F.try_variant_get(F.try_parse_json("item"), "$.content.type", "string")
-            made = archive.audit(rows, "address", "page_no", kind)
-            made.write.mode("append").json(o.output)
-            return 0
-        known = jsonl.lines(spark, o.output).select("value") if jsonl._exists(spark, o.output) else None
-        item = rows.select(F.sha2("item", 256).alias("_h"), "place", F.col("item").alias("value"))
-        fresh = archive.first_wins(item, "_h", ["place"])
-        if known is not None:
-            fresh = fresh.join(known.select(F.sha2("value", 256).alias("_h")), "_h", "left_anti")
-        fresh.select("value").write.mode("append").text(o.output)
-        return 0
-    if o.verb == "validate":
-        broken = validation.raw_failures(spark.read.text(o.raw)).groupBy("field", "reason").count().collect()
-        for row in broken:
-            print(f"{row['field']}\t{row['reason']}\t{row['count']}")
-        return 1 if broken else 0
-    if o.verb == "verify":
-        made = archive.reconcile(spark.read.json(o.audit), _raw(spark, o.raw).select("collection_id"), "collection_id")
-        for row in made.select("collection_id", "scanned_total", "exported_total", "status").toLocalIterator():
-            print(f"{row.collection_id}: scanned={row.scanned_total} exported={row.exported_total} {row.status}")
-        return 1 if made.filter("status <> 'ok'").head(1) else 0
-    if o.verb == "triage":
-        rows = _raw(spark, o.raw)
-        items = triage.triage(rows, "collection_id", "id", "url").join(rows.select("collection_id", "id", F.col("title").alias("article_title")).distinct(), ["collection_id", "id"])
-        items = items.withColumnsRenamed({"id": "article_id", "url": "article_url"})
-        items.write.mode("overwrite").json(o.output)
-        for row in triage.bucket_report(items).collect():
-            print(json.dumps(row.asDict(), ensure_ascii=False))
-        return 0
-    items = spark.read.json(o.items)
-    if o.verb == "candidates":
-        config.check_delay(o.delay)
-        buckets = ["keep_knowledge", *o.bucket]
-        archive.download_candidates(items, buckets, ORDER, o.include_gifs).write.mode("overwrite").json(o.output)
-        return 0
-    manifest = spark.read.json(o.manifest)
-    archive.index_articles(manifest, ["path", "image_url"]).write.mode("overwrite").json(f"{o.output}/articles")
-    archive.missing_candidates(items, manifest, ORDER).write.mode("overwrite").json(f"{o.output}/missing")
+    except Exception as error:  # an error that a task of the source raised
+        if "FetchError" not in str(error):
+            raise
+        print(str(error).splitlines()[0], file=sys.stderr)
+    return 1
+
+
+def _how(o: argparse.Namespace) -> dict:
+    cookie = config.load(o.settings).cookie if o.settings else ""
+    return {"delay": o.delay, "attempts": o.attempts, "cookie": cookie}
+
+
+def _details(spark: SparkSession, o: argparse.Namespace) -> DataFrame | None:
+    return spark.read.schema("kind string, id string, detail string").json(o.details) if o.details else None
+
+
+def _export(spark: SparkSession, o: argparse.Namespace) -> int:
+    if getattr(o, "fixture", None):
+        done = jobs.export_fixture(spark, o.fixture, o.output, o.state)
+    elif o.address:
+        done = jobs.export_listing(spark, o.address, o.output, o.state, _details(spark, o), o.verb == "export-author", o.limit, **_how(o))
+    else:
+        raise ValueError("an address or a fixture is required")
+    print(f"exported={done[0]} skipped={done[1]}")
+    return 0
+
+
+def _export_batch(spark: SparkSession, o: argparse.Namespace) -> int:
+    addresses = config.addresses(o.list)
+    if o.audit:
+        addresses = jobs.incomplete_addresses(spark, addresses, o.audit, o.output)
+    for k, address in enumerate(addresses):
+        time.sleep(o.pause if k else 0.0)
+        name = jobs.listing_name(address)
+        try:
+            done = jobs.export_listing(spark, address, f"{o.output}/set-{name}.jsonl", f"{o.state}/{name}.json", _details(spark, o), False, o.limit, **_how(o))
+        except Exception as error:
+            if o.log:
+                files.log(spark, o.log, f"{name} stopped: {str(error).splitlines()[0]}")
+            raise
+        said = f"{name}: exported={done[0]} skipped={done[1]}"
+        print(said)
+        if o.log:
+            files.log(spark, o.log, said)
+    return 0
+
+
+def _audit(spark: SparkSession, o: argparse.Namespace) -> int:
+    for r in jobs.audit(spark, config.addresses(o.list), o.report, **_how(o)).orderBy("collection_id").toLocalIterator():
+        types = " ".join(f"{k}={n}" for k, n in sorted(r.type_counts.items()))
+        print(f"{r.collection_id}: reported={r.reported_total} scanned={r.scanned_total} pages={r.page_count} {types} warnings={','.join(r.warnings) or '-'}")
     return 0
 
 
+def _verify(spark: SparkSession, o: argparse.Namespace) -> int:
+    made = jobs.verify(spark, o.report, o.raw)
+    for r in made.toLocalIterator():
+        print(f"{r.collection_id}: scanned={r.scanned_total} exported={r.exported_total} {r.status}")
+    return 1 if made.filter("status <> 'ok'").head(1) else 0
+
+
+def _downloaded(done: dict) -> int:
+    print(f"downloaded={done['downloaded']} skipped={done['skipped']} stopped={done['stopped_reason'] or '-'}")
+    return 1 if done["stopped_reason"] else 0
+
+
+def _images(spark: SparkSession, o: argparse.Namespace) -> int:
+    config.check_delay(o.delay)
+    state = o.state if o.state.endswith(".json") else files.state_path(o.state, o.raw)
+    return _downloaded(jobs.download_images(jobs.raw_images(spark, o.raw), "raw", o.folder, state, None, limit=o.images, delay=o.delay))
+
+
+def _triage_download(spark: SparkSession, o: argparse.Namespace) -> int:
+    config.check_delay(o.delay)
+    found = jobs.candidates(spark, o.report, o.bucket, o.include_gifs)
+    return _downloaded(jobs.download_images(found, "triage", o.folder, o.state, o.manifest, limit=o.images, delay=o.delay))
+
+
+def _triage(spark: SparkSession, o: argparse.Namespace) -> int:
+    made = jobs.triage_report(spark, o.raw, o.report)
+    print(" ".join(f"{k}={v}" for k, v in made["summary"].items()))
+    for bucket, r in made["buckets"].items():
+        print(f"{bucket}: images={r['images']} articles={r['articles']}")
+    return 0
+
+
+def _index(spark: SparkSession, o: argparse.Namespace) -> int:
+    print(" ".join(f"{k}={v}" for k, v in jobs.image_index(spark, o.manifest, o.report, o.output).items()))
+    return 0
+
+
+def _validate(spark: SparkSession, o: argparse.Namespace) -> int:
+    broken = validation.raw_failures(jsonl.lines(spark, o.raw)).groupBy("field", "reason").agg(F.count("*").alias("n")).collect()
+    for r in broken:
+        print(f"{r.field}\t{r.reason}\t{r.n}")
+    return 1 if broken else 0
+
+
+RUN = {
+    "export": _export, "export-author": _export, "export-batch": _export_batch, "audit": _audit, "verify": _verify, "images": _images,
+    "triage": _triage, "triage-download": _triage_download, "index": _index, "validate": _validate,
+}
+
+
 if __name__ == "__main__":
     sys.exit(main())

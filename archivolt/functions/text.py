@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: Longest part of a content that the keyword rules look at, in code points.
 CONTEXT_LENGTH = 5000
@@ -49,6 +50,12 @@ def plain_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"\s+", " "))
 
 
+@F.pandas_udf(StringType())
+def nfc(values: pd.Series) -> pd.Series:
+    """Canonically composed text; null stays null."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
@@ -78,6 +85,13 @@ def parse_html(value: str) -> tuple[str, list[str]]:
     return re.sub(r"\s+", " ", " ".join(parser.parts)).strip(), list(dict.fromkeys(parser.images))
 
 
+@F.pandas_udf(StructType().add("text", "string").add("images", ArrayType(StringType())))
+def parsed_html(values: pd.Series) -> pd.DataFrame:
+    """Text and image addresses of HTML in one pass; null has null parts."""
+    parsed = [(None, None) if v is None else parse_html(v) for v in values]
+    return pd.DataFrame({"text": [text for text, _ in parsed], "images": [images for _, images in parsed]})
+
+
 @F.pandas_udf(StringType())
 def html_to_text(values: pd.Series) -> pd.Series:
     """Exact text of HTML; null stays null."""

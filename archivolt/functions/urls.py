@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import PurePosixPath
+from urllib.parse import urlparse
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +51,13 @@ def file_name(url: Column, content_type: Column) -> Column:
     return F.concat(F.substring(F.sha2(url, 256), 1, 16), F.when(suffix.isin(*KEPT_SUFFIXES), suffix).otherwise(by_type))
 
 
+def image_name(url: str, content_type: str) -> str:
+    """As ``file_name`` for one address in Python, where a body is saved."""
+    suffix = PurePosixPath(urlparse(url).path).suffix.lower()
+    suffix = suffix if suffix in KEPT_SUFFIXES else SUFFIX_BY_TYPE.get(content_type, ".jpg")
+    return hashlib.sha256(url.encode("utf-8")).hexdigest()[:16] + suffix
+
+
 def canonical(url: Column) -> Column:
     """Scheme and host in lower case, no default port, fragment, tracking keys or final slash; query sorted."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
@@ -85,6 +96,12 @@ def platform_key(url: Column) -> Column:
     return made
 
 
+def detail_url(base: str, kind: Column, number: Column, articles: str | None = None) -> Column:
+    """Address of the detail of an answer, or of an article at ``articles``."""
+    answer = F.concat(F.lit(f"{base}/answers/"), number, F.lit("?include="), F.url_encode(F.lit("content,created_time,question,author")))
+    return F.when(kind == "answer", answer).otherwise(F.concat(F.lit(f"{articles or base}/articles/"), number))
+
+
 def page_url(base: str, collection: Column, offset: Column, limit: int = 20) -> Column:
     """Address of a page of a collection's items."""
     return F.format_string(f"{base}/collections/%s/items?offset=%d&limit={limit}", collection, offset)

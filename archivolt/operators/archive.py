@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions.text import unix_to_iso
-from archivolt.functions.urls import is_gif_before_query, is_gif_path, is_http
+from archivolt.functions.urls import is_gif_before_query, is_gif_path
+from archivolt.workspace import settle
 
 # HTTP statuses that skip an image; every other one from 400 on stops the job.
 SKIPPED_STATUSES = (404, 410)
@@ -42,12 +42,32 @@ def export_counts(df: DataFrame, key: str, run: str, order: list[str]) -> DataFr
 
 
 def resume(df: DataFrame, job: str, order: list[str], offset: int, limit: int | None = None) -> DataFrame:
-    """Rows of each job from ``offset`` on, at most ``limit`` (0 and None: all), with their place."""
-    place = F.row_number().over(Window.partitionBy(job).orderBy(*order)).cast("bigint") - 1
-    rows = df.withColumn("place", place).filter(F.col("place") >= offset)
+    """Rows of each job from ``offset`` on, at most ``limit`` (0 and None: all), with their place.
+
+    ``order`` must tell the rows of a job apart. Jobs are cut into ranges of their order, so
+    that a large one is sorted by many tasks; a row's place is its place among all rows less
+    the rows of jobs that come before.
+    """
+    rows = placed(df, [job, *order])
+    first = rows.groupBy(F.col(job).alias("_job")).agg(F.min("place").alias("_first"))
+    rows = rows.join(first, F.col(job).eqNullSafe(F.col("_job")))
+    rows = rows.withColumn("place", F.col("place") - F.col("_first")).drop("_first", "_job").filter(F.col("place") >= offset)
     return rows.filter(F.col("place") < offset + limit) if limit else rows
 
 
+def placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with each row's place (from 0) in ``order``, which must tell rows apart; no task holds all rows.
+
+    Rows are sorted by ranges; the sizes of the ranges before a row's own give its place.
+    """
+    rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    made = rows.withColumn("_local", local).join(F.broadcast(before.select("_range", "_before")), "_range")
+    return made.withColumn("place", (F.col("_before") + F.col("_local")).cast("bigint")).drop("_range", "_local", "_before")
+
+
 def type_counts(items: DataFrame, collection: str, kind: Column, missing: str = "unknown") -> DataFrame:
     """(collection, type, n): items by type; null and empty types count as ``missing``."""
     named = F.when(kind.isNull() | (kind == ""), F.lit(missing)).otherwise(kind)
@@ -73,9 +93,33 @@ def audit(items: DataFrame, collection: str, page: str, kind: Column, totals: Da
     else:
         reported = totals.filter("total is not null").groupBy(collection).agg(F.min_by("total", page).alias("reported_total"))
         made = made.join(reported, collection, "left")
+    return made.select(collection, "reported_total", "scanned_total", "type_counts", "page_count", _warnings().alias("warnings"))
+
+
+def audit_pages(pages: DataFrame, collection: str) -> DataFrame:
+    """As ``audit`` for pages (page_no, total, items as JSON texts): an empty last page counts, its total too.
+
+    Collections whose only page is empty have a scanned total of 0 and no types.
+    """
+    kind = F.try_variant_get(F.try_parse_json("item"), "$.content.type", "string")
+    items = pages.select(collection, "page_no", F.explode("items").alias("item"))
+    types = type_counts(items, collection, kind).groupBy(collection).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("type_counts"), F.sum("n").alias("_scanned")
+    )
+    known = F.struct(F.col("page_no"), F.col("total"))
+    made = pages.groupBy(collection).agg(
+        F.countDistinct("page_no").alias("page_count"), F.min(F.when(F.col("total").isNotNull(), known)).getField("total").alias("reported_total")
+    )
+    made = made.join(types, collection, "left")
+    made = made.withColumn("scanned_total", F.coalesce("_scanned", F.lit(0)).cast("bigint"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    made = made.withColumn("type_counts", F.coalesce("type_counts", none))
+    return made.select(collection, "reported_total", "scanned_total", "type_counts", "page_count", _warnings().alias("warnings"))
+
+
+def _warnings() -> Column:
     differs = F.col("reported_total").isNotNull() & (F.col("reported_total") != F.col("scanned_total"))
-    warnings = F.when(differs, F.array(F.lit("reported_total_mismatch"))).otherwise(F.array().cast("array<string>"))
-    return made.select(collection, "reported_total", "scanned_total", "type_counts", "page_count", warnings.alias("warnings"))
+    return F.when(differs, F.array(F.lit("reported_total_mismatch"))).otherwise(F.array().cast("array<string>"))
 
 
 def reconcile(audits: DataFrame, exported: DataFrame, collection: str) -> DataFrame:
@@ -92,7 +136,7 @@ def pending(collections: DataFrame, audits: DataFrame, collection: str) -> DataF
     return collections.select(collection).filter(F.length(collection) > 0).distinct().join(known, collection, "left_anti")
 
 
-def incomplete(audits: DataFrame, exported: DataFrame, collection: str, line: str) -> DataFrame:
+def incomplete(audits: DataFrame, exported: DataFrame, collection: str, line: str | Column) -> DataFrame:
     """(collection, total, exported_total): collections whose last audited total is not what was exported.
 
     The last row by ``line`` wins; a null total is never complete.
@@ -103,29 +147,6 @@ def incomplete(audits: DataFrame, exported: DataFrame, collection: str, line: st
     return joined.filter(~F.col("total").eqNullSafe(F.col("exported_total")))
 
 
-def normalised_items(items: DataFrame) -> DataFrame:
-    """(item_no, id, source, title, author, content, created_at, images) of listing rows of a known type.
-
-    Answers take the question's title, the others their own; a video's content is its title
-    and its thumbnail its image. Rows without type, id or title are left out. Listing rows
-    carry no body, so that every content falls back to the title.
-    """
-    c = F.col("content")
-    title = F.when(c["type"] == "answer", c["question"]["title"]).otherwise(c["title"])
-    thumbnail = F.when((c["type"] == "zvideo") & is_http(c["thumbnail"]), F.array(c["thumbnail"]))
-    known = c["type"].isin("answer", "article", "pin", "zvideo") & c["id"].isNotNull() & (F.length(title) > 0)
-    return items.filter(known).select(
-        "item_no",
-        F.concat(F.lit("zhihu_"), c["type"], F.lit("_"), c["id"].cast("string")).alias("id"),
-        F.lit("zhihu").alias("source"),
-        title.alias("title"),
-        c["author"]["name"].alias("author"),
-        title.alias("content"),
-        unix_to_iso(F.col("created")).alias("created_at"),
-        F.coalesce(thumbnail, F.array().cast("array<string>")).alias("images"),
-    )
-
-
 def download_candidates(items: DataFrame, buckets: list[str], order: list[str], gifs: bool = False) -> DataFrame:
     """First item of each non-empty image URL in ``buckets``, GIFs left out unless asked for."""
     kept = items.filter((F.length("image_url") > 0) & F.col("bucket").isin(*buckets))

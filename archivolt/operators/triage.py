@@ -62,7 +62,7 @@ def triage(df: DataFrame, *keys: str) -> DataFrame:
     without usable images have no row. ``df`` is classified before its images are exploded.
     """
     images = F.filter(F.coalesce("images", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    rows = df.select(*keys, "title", images.alias("_images"), context(F.col("title"), F.col("content"), F.col("source_collection_title")).alias("_text"))
+    rows = df.select(*[k for k in keys if k != "title"], "title", images.alias("_images"), context(F.col("title"), F.col("content"), F.col("source_collection_title")).alias("_text"))
     rows = rows.filter(F.size("_images") > 0)
     rules = [
         (contains_any(F.col("_text"), words) & (F.size("_images") <= most if most else F.lit(True)), bucket, reason)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.functions.text import html_to_text, plain_text
+from archivolt.functions.text import nfc, plain_text
 from archivolt.functions.urls import canonical, file_name, is_gif_before_query, is_gif_path, path_suffix, platform_key
 from archivolt.operators import archive, documents, triage, validation
 from archivolt.workspace import table
@@ -110,21 +110,27 @@ def fixture_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.type_counts(table(spark, sf_dir, "collection_items"), "collection_id", F.col("content.type"), "answer")
 
 
+_PAGES = """(SELECT collection_id, page_no, CASE WHEN page_no = 1 THEN t.total END AS total, kinds FROM (
+    SELECT collection_id, page_no, list(coalesce(content.type, '')) AS kinds FROM collection_items GROUP BY ALL
+    UNION ALL SELECT collection_id, max(page_no) + 1, [] FROM collection_items GROUP BY collection_id HAVING count(*) % 20 = 0)
+    LEFT JOIN (SELECT collection_id, arg_min(reported_total, audit_no) AS total FROM audit_report WHERE reported_total IS NOT NULL GROUP BY collection_id) t USING (collection_id))"""
+
+
 @query(
-    """WITH s AS (SELECT collection_id, count(*) AS scanned_total, count(DISTINCT page_no) AS page_count FROM collection_items GROUP BY collection_id),
-    r AS (SELECT collection_id, arg_min(reported_total, audit_no) AS reported_total FROM audit_report WHERE reported_total IS NOT NULL GROUP BY collection_id),
-    p AS (SELECT collection_id, count(DISTINCT page_no) AS n FROM (SELECT collection_id, page_no FROM collection_items UNION SELECT collection_id, -audit_no FROM audit_report) GROUP BY collection_id)
-    SELECT s.collection_id, r.reported_total, s.scanned_total, p.n AS page_count,
-    CASE WHEN r.reported_total <> s.scanned_total THEN 'reported_total_mismatch' ELSE '' END AS warnings
-    FROM s LEFT JOIN r ON s.collection_id = r.collection_id JOIN p ON p.collection_id = s.collection_id"""
+    f"""SELECT collection_id, arg_min(total, page_no) FILTER (WHERE total IS NOT NULL) AS reported_total, CAST(sum(len(kinds)) AS BIGINT) AS scanned_total, count(*) AS page_count,
+    CASE WHEN arg_min(total, page_no) FILTER (WHERE total IS NOT NULL) <> sum(len(kinds)) THEN 'reported_total_mismatch' ELSE '' END AS warnings
+    FROM {_PAGES} GROUP BY collection_id"""
 )
 def audits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of each listed collection against its first reported total."""
-    totals = table(spark, sf_dir, "audit_report").select("collection_id", F.col("audit_no").alias("page_no"), F.col("reported_total").alias("total"))
-    ordered = totals.withColumn("page_no", F.col("page_no"))
-    first = ordered.filter("total is not null").groupBy("collection_id").agg(F.min_by("total", "page_no").alias("total"))
-    pages = totals.select("collection_id", (-F.col("page_no")).alias("page_no")).join(first, "collection_id", "left")
-    made = archive.audit(table(spark, sf_dir, "collection_items"), "collection_id", "page_no", F.col("content.type"), pages)
+    """Audit of each listing from its pages; full listings end with an empty page, first pages report the total."""
+    rows = table(spark, sf_dir, "collection_items")
+    report = table(spark, sf_dir, "audit_report").filter("reported_total IS NOT NULL").groupBy("collection_id").agg(F.min_by("reported_total", "audit_no").alias("t"))
+    item = F.to_json(F.struct("content"))
+    pages = rows.groupBy("collection_id", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    full = rows.groupBy("collection_id").agg(F.max("page_no").alias("m"), F.count("*").alias("n")).filter("n % 20 = 0")
+    pages = pages.unionByName(full.select("collection_id", (F.col("m") + 1).alias("page_no"), F.array().cast("array<string>").alias("items")))
+    pages = pages.join(report, "collection_id", "left").withColumn("total", F.when(F.col("page_no") == 1, F.col("t")))
+    made = archive.audit_pages(pages, "collection_id")
     return made.select("collection_id", "reported_total", "scanned_total", "page_count", F.array_join("warnings", ",").alias("warnings"))
 
 
@@ -167,19 +173,6 @@ def incomplete_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.incomplete(table(spark, sf_dir, "audit_report"), _exported(spark, sf_dir), "collection_id", "audit_no")
 
 
-@query(
-    """SELECT item_no, 'zhihu_' || content.type || '_' || content.id AS id, title, content.author.name AS author,
-    strftime(make_timestamp(created * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created_at,
-    CASE WHEN content.type = 'zvideo' AND (starts_with(content.thumbnail, 'http://') OR starts_with(content.thumbnail, 'https://')) THEN content.thumbnail ELSE '' END AS images
-    FROM (SELECT *, CASE WHEN content.type = 'answer' THEN content.question.title ELSE content.title END AS title FROM collection_items)
-    WHERE content.type IN ('answer', 'article', 'pin', 'zvideo') AND content.id IS NOT NULL AND length(title) > 0"""
-)
-def normalised_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listing rows as article records."""
-    made = archive.normalised_items(table(spark, sf_dir, "collection_items"))
-    return made.select("item_no", "id", "title", "author", "created_at", F.array_join("images", ",").alias("images"))
-
-
 def _any(text: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(lower({text}), '{w.lower()}')" for w in words) + ")"
 
@@ -363,12 +356,12 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') || chr(31) || coalesce(lang, '')) AS hash FROM documents"""
+    r"""SELECT doc_id, sha256(nfc_normalize(trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) || chr(31) || coalesce(lang, '')) AS hash FROM documents"""
 )
 def plain_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash of every document's plain text and language."""
+    """Hash of every document's plain, composed text and language."""
     empty = F.lit("")
-    text = F.concat(plain_text(F.coalesce("text", empty)), F.lit("\u001f"), F.coalesce("lang", empty))
+    text = F.concat(nfc(plain_text(F.coalesce("text", empty))), F.lit("\u001f"), F.coalesce("lang", empty))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("hash"))
 
 
@@ -389,25 +382,21 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.changes(last(rows.filter("batch_no <= 6")), last(rows.filter("batch_no > 6")), "id")
 
 
+_PLAIN_TITLE = r"lower(trim(regexp_replace(regexp_replace(title, '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '))"
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda k: substr({0}, k, 3)))"
+
+
 @query(
-    """WITH s AS (SELECT DISTINCT lower(title) AS query FROM articles WHERE rec_no % 100 = 0 AND length(title) >= 3 AND regexp_matches(title, '^[ -~]+$') AND NOT contains(title, '  ')),
-    q AS (SELECT query, len(g) AS n, unnest(g) AS t FROM (SELECT query, list_distinct(list_transform(range(1, length(query) - 1), lambda k: substr(query, k, 3))) AS g FROM s)),
-    d AS (SELECT rec_no, unnest(list_distinct(list_transform(range(1, length(x) - 1), lambda k: substr(x, k, 3)))) AS t FROM (SELECT rec_no, lower(title) AS x FROM articles WHERE regexp_matches(title, '^[ -~]+$') AND NOT contains(title, '  ')) WHERE length(x) >= 3)
-    SELECT query, rec_no, round(count(*) / any_value(n), 6) AS score FROM d JOIN q ON d.t = q.t GROUP BY query, rec_no, n HAVING count(*) / any_value(n) >= 0.6"""
+    f"""WITH t AS (SELECT rec_no, {_PLAIN_TITLE} AS x FROM articles WHERE title IS NOT NULL), s AS (SELECT DISTINCT lower(title) AS query FROM articles WHERE rec_no % 100 = 0 AND title IS NOT NULL),
+    p AS (SELECT query, {_PLAIN_TITLE.replace("title", "query")} AS x FROM s), q AS (SELECT query, len(g) AS n, unnest(g) AS t FROM (SELECT query, {_GRAMS.format("x")} AS g FROM p WHERE length(x) >= 3)),
+    d AS (SELECT rec_no, unnest({_GRAMS.format("x")}) AS t FROM t WHERE length(x) >= 3)
+    SELECT query, rec_no, round(count(*) / n, 6) AS score FROM d JOIN q ON d.t = q.t GROUP BY query, rec_no, n HAVING round(count(*) / n, 6) >= 0.6"""
 )
 def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII titles that share most trigrams with the title of every hundredth article."""
-    rows = table(spark, sf_dir, "articles").filter(F.col("title").rlike("^[ -~]+$") & ~F.contains("title", F.lit("  "))).select("rec_no", "title")
-    asked = rows.filter((F.col("rec_no") % 100 == 0) & (F.length("title") >= 3)).select(F.lower("title").alias("query")).distinct()
-    return documents.search(rows, "rec_no", F.col("title"), asked).filter("score >= 0.6")
-
-
-@query()
-def title_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As title_search, but over all titles in all scripts; tested against brute force instead of SQL."""
+    """Titles that share most trigrams with the title of every hundredth article."""
     rows = table(spark, sf_dir, "articles").filter("title is not null").select("rec_no", "title")
     asked = rows.filter(F.col("rec_no") % 100 == 0).select(F.lower("title").alias("query")).distinct()
-    return documents.search(rows, "rec_no", F.col("title"), asked).filter("score >= 0.6")
+    return documents.search(rows, "rec_no", F.col("title"), asked, 0.6)
 
 
 @query(
@@ -432,12 +421,17 @@ def related_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, tie) AS r FROM (
-    SELECT doc_id, source, n_chars, sha256('2026-07-12|' || doc_id) AS tie FROM documents WHERE n_chars > 0)) WHERE r <= 2 ORDER BY n_chars, tie LIMIT 5"""
+    """SELECT doc_id, source, CAST(row_number() OVER (ORDER BY manual DESC, evergreen DESC, captured_at, tie) AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY manual DESC, evergreen DESC, captured_at, tie) AS r FROM (
+    SELECT doc_id, source, coalesce(batch_no, 0) % 3 AS manual, least(n_chars // 1000, 5) AS evergreen, captured_at, sha256('2026-07-12|' || doc_id) AS tie
+    FROM documents WHERE n_chars > 0 AND captured_at IS NOT NULL AND NOT coalesce(lang = 'und', false))) WHERE r <= 2 ORDER BY manual DESC, evergreen DESC, captured_at, tie LIMIT 5"""
 )
 def daily_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five short documents of the day, at most two of a source."""
-    return documents.daily_review(table(spark, sf_dir, "documents").filter("n_chars > 0"), "doc_id", "source", "n_chars", "2026-07-12")
+    """Five documents of the day by two priorities and age, at most two of a source; those of unknown language count as seen."""
+    rows = table(spark, sf_dir, "documents").filter("n_chars > 0 AND captured_at IS NOT NULL")
+    rows = rows.withColumn("manual", -(F.coalesce("batch_no", F.lit(0)) % 3)).withColumn("evergreen", -F.least(F.floor(F.col("n_chars") / 1000), F.lit(5)))
+    order = [F.col("manual"), F.col("evergreen"), F.col("captured_at")]
+    return documents.daily_review(rows, "doc_id", "source", order, "2026-07-12", F.col("lang") == "und")
 
 
 @query("SELECT coalesce(source, '') AS source, count(*) AS n, count(DISTINCT collection_id) AS collections, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents GROUP BY 1")
@@ -462,13 +456,9 @@ def job_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.leases(events, "job", "at", "kind", F.lit("2024-01-10 00:00:00").cast("timestamp"))
 
 
-@query()
-def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as if they were HTML; exact parsing is tested against the standard parser."""
-    return table(spark, sf_dir, "documents").select("doc_id", html_to_text("text").alias("plain"))
-
-
-@query()
+@query(
+    """SELECT count(*) AS rows, CAST(sum(('0x' || substr(sha256(coalesce(id, chr(1)) || chr(31) || coalesce(title, chr(1)) || chr(31) || coalesce(content, chr(1)) || chr(31) || coalesce(saved_at, chr(1))), 1, 15))::HUGEINT) AS VARCHAR) AS hash FROM articles"""
+)
 def archive_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash of the archive that does not depend on order."""
     return documents.logical_hash(table(spark, sf_dir, "articles"), "id", "title", "content", "saved_at")

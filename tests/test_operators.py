@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from archivolt.functions import text, urls
-from archivolt.operators import archive, documents, triage, validation
+from archivolt.operators import archive, documents, records, triage, validation
 
 ARTICLE = {
     "schema_version": "1.0", "id": "web_1", "source": "web", "title": "t", "url": "https://a.example/1", "author": "x", "content": "c",
@@ -133,7 +133,7 @@ def test_changes_search_and_fusion(spark):
     ranks = spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "query string, id bigint, rank int")
     assert documents.fuse(ranks, ranks.filter("id = 2"), "query", "id").orderBy(F.desc("score")).first().id == 2
     metrics = documents.search_metrics(ranks.withColumnRenamed("id", "key"), spark.createDataFrame([("q", 2), ("p", 9)], "query string, key bigint")).first()
-    assert tuple(metrics) == (2, 0.5, 0.25)
+    assert tuple(metrics) == (2, 0.5, 0.25, None, 1)
 
 
 def test_logical_hash_ignores_order(spark):
@@ -146,3 +146,42 @@ def test_empty_tables(spark):
     assert triage.triage(empty, "id").count() == 0
     assert archive.first_wins(empty, "id", ["saved_at"]).count() == 0
     assert validation.first_failures(empty, "id").count() == 0
+
+
+def records_of(spark, *contents, details=None):
+    import json
+
+    rows = [(k, json.dumps({"content": c})) for k, c in enumerate(contents)]
+    made = records.collection_records(spark.createDataFrame(rows, "k int, item string"), ["k"], details, F.lit("2026-06-30T12:00:00Z"))
+    return {r.k: r for r in made.collect()}
+
+
+def test_records_of_items(spark):
+    """Golden cases: bodies, a missing body, pins of blocks, thumbnails, and what items without a record lack."""
+    import json
+
+    base = {"id": 5, "url": "https://a.example/5", "author": {"name": "x"}, "title": "T"}
+    pin = base | {"type": "pin", "created": 1705291200, "content": [{"type": "text", "own_text": "a<br>b"}, {"type": "text", "content": "c"}, "odd", {"type": "image", "original_url": "https://i/1"}, {"type": "image", "original_url": "https://i/1", "url": "https://i/2"}, {"type": "image", "watermark_url": "ftp://i/3"}]}
+    video = base | {"type": "zvideo", "created_at": None, "created": 1705291200}
+    detail = [("answer", "5", json.dumps(base | {"question": {"title": "Q"}, "content": "<p>x &amp; y</p><img src='https://i/9'>", "created_time": 1705291200})), ("answer", "6", json.dumps(base | {"id": 6, "question": {"title": "Q"}, "created_time": "1705291200", "content": 7}))]
+    details = spark.createDataFrame(detail, "kind string, id string, detail string")
+    made = records_of(
+        spark, {"type": "answer", "id": 5}, {"type": "answer", "id": 6}, pin, pin | {"content": None}, video, video | {"created_at": "1705291200", "thumbnail": "https://i/1", "image_url": "https://i/1", "thumbnail_info": {"url": "https://i/4"}},
+        {"type": "course", "id": 1}, {"type": "answer"}, "text", {"type": "answer", "id": 7}, base | {"type": "article", "content": "<i>b</i>", "created": 1705291200.9}, base | {"type": "article", "content": "<br>", "created": 0, "author": "x"}, details=details,
+    )
+    assert (made[0].id, made[0].title, made[0].content, made[0].images, made[0].created_at) == ("zhihu_answer_5", "Q", "x & y", ["https://i/9"], "2024-01-15T04:00:00Z")
+    assert (made[1].content, made[1].images, made[1].saved_at) == ("Q", [], "2026-06-30T12:00:00Z")
+    assert (made[2].title, made[2].content, made[2].images) == ("a b c", "a b c", ["https://i/1", "https://i/2"])
+    assert (made[3].title, made[3].content) == ("Zhihu pin 5", "")
+    assert made[4].error == "created" and made[4].id is None
+    assert (made[5].content, made[5].images, made[5].created_at) == ("T", ["https://i/1", "https://i/4"], "2024-01-15T04:00:00Z")
+    assert [made[k].error for k in (6, 7, 8, 9, 11)] == ["type", "type", "content", "detail", "author"]
+    assert (made[10].content, made[10].created_at, made[10].error) == ("b", "2024-01-15T04:00:00Z", None)
+    assert validation.valid(spark.createDataFrame([made[0].asDict()], "k int, error string, " + ", ".join(f"{f} {'array<string>' if f == 'images' else 'string'}" for f in records.FIELDS)).drop("k", "error")).count() == 1
+
+
+def test_places_are_global(spark):
+    df = spark.range(1000).selectExpr("id * 37 % 1000 AS n", "id % 3 AS job")
+    assert archive.placed(df, ["n"]).filter("n <> place").count() == 0
+    made = archive.resume(df, "job", ["n"], 5, 10).collect()
+    assert len(made) == 30 and all(r.place in range(5, 15) for r in made)

@@ -1,5 +1,7 @@
 """Derivations, reuse, reading state, merging, links and leases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def test_state_merge_links(spark):
     recall = lambda *r: spark.createDataFrame([("semantic", r[0]), ("lexical", r[1])], "kind string, recall double")
     assert d.adopt(recall(0.5, 0.9), recall(0.7, 0.89)).first().adopt and not d.adopt(recall(0.5, 0.9), recall(0.7, 0.8)).first().adopt
     report = d.index_report(spark.createDataFrame([("created",), ("unchanged",), ("absent",), ("source_changed",)], "change string"), 2).first()
-    assert tuple(report) == (3, 1, 1, 1, 1, 2)
+    assert tuple(report) == (5, 3, 1, 1, 1, 1, 0, 2, 2)
 
 
 def test_leases_and_relations(spark):
@@ -41,3 +43,54 @@ def test_leases_and_relations(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "id int, t string")
     relations = spark.createDataFrame([(1, 2, "supports", "beta"), (1, 2, "supports", "no"), (1, 1, "supports", "beta"), (1, 2, "odd", "beta")], "a int, b int, kind string, evidence string")
     assert d.valid_relations(relations, docs, "id", "t", ("supports",)).count() == 1
+
+
+def test_related_by_time_against_all_pairs(spark):
+    """The nearest of each row, with many rows in one second, ties, nulls and a bound on both sides."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice("ab"), rng.choice([7, 7, 7, rng.randint(0, 400)])) for k in range(150)] + [(900, None, 7), (901, "a", None)]
+    df = spark.createDataFrame(rows, "k bigint, c string, s bigint")
+    got = {tuple(r) for r in d.related_by_time(df.unionByName(df.limit(3)), "k", "c", F.col("s"), 50, 4).collect()}
+    want = set()
+    for k, c, s in rows:
+        near = sorted((abs(s - t), j) for j, e, t in rows if c and c == e and j != k and s is not None and t is not None and abs(s - t) <= 50)
+        want |= {(k, j, gap) for gap, j in near[:4]}
+    assert got == want
+    assert d.related_by_time(df.limit(0), "k", "c", F.col("s"), 50).count() == 0
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(6)
+    rows = [(k, [rng.random() - 0.5 for _ in range(5)]) for k in range(60)] + [(60, None), (61, [0.0] * 5), (62, [1.0])]
+    df = spark.createDataFrame(rows, "k bigint, v array<double>")
+    one = sorted(tuple(r) for r in d.neighbours(df, "k", "v", 3, 2).collect())
+    assert one == sorted(tuple(r) for r in d.neighbours(df, "k", "v", 3, 2, 4).collect()) and len(one) == 30 * 3
+    assert d.neighbours(df.limit(0), "k", "v", 3).count() == 0
+
+
+def test_hash_of_many_rows(spark):
+    df = spark.range(300_000).select(F.col("id").cast("string").alias("k"))
+    assert int(d.logical_hash(df, "k").first().hash) > 1 << 63
+    assert tuple(d.logical_hash(df.limit(0), "k").first()) == (0, "0")
+
+
+def test_review_excludes_and_spreads(spark):
+    rows = [(k, "t" if k < 6 else f"u{k}", k % 3, "read" if k % 5 == 0 else None) for k in range(12)]
+    df = spark.createDataFrame(rows, "k int, topic string, p int, state string")
+    made = d.daily_review(df, "k", "topic", [F.col("p")], "2026-07-12", F.col("state") == "read").orderBy("rank").collect()
+    assert len(made) == 5 and [r["rank"] for r in made] == [1, 2, 3, 4, 5] and not any(r.k % 5 == 0 for r in made)
+    assert sum(r.topic == "t" for r in made) <= 2 and [r.k % 3 for r in made] == sorted(r.k % 3 for r in made)
+    other = d.daily_review(df, "k", "topic", [F.lit(0)], "2026-07-13").collect()
+    assert len(other) == 5
+
+
+def test_ranked_search_and_links(spark):
+    docs = spark.createDataFrame([(1, "The Binary trie join", "a"), (2, "a trie", "a"), (3, "trie", "b"), (4, None, "a")], "id int, t string, s string")
+    asked = spark.createDataFrame([("TRIE binary",)], "query string")
+    got = {r.id: (r.score, r.snippet) for r in d.ranked_search(docs, "id", "t", asked, s="a").collect()}
+    assert got == {1: (1.0, "The <mark>Binary</mark> trie join"), 2: (0.5, "a <mark>trie</mark>")}
+    pages = spark.createDataFrame([("x", "1"), ("old", "1"), ("c", "2")], "page string, hash string")
+    manifest = spark.createDataFrame([("x", "1"), ("gone", "1"), ("c", "1")], "page string, hash string")
+    links = spark.createDataFrame([("a", "x"), ("a", "y")], "source string, target string")
+    made = d.link_check(links, pages, spark.createDataFrame([("y",)], "page string"), manifest)
+    assert {tuple(r) for r in made.collect()} == {("y", "creatable"), ("old", "stale"), ("gone", "missing"), ("c", "changed")}

@@ -16,7 +16,7 @@ def grams(title):
 
 def test_all_titles(spark, tmp_path):
     spark.createDataFrame(TITLES, "rec_no bigint, title string").write.parquet(str(tmp_path / "articles.parquet"))
-    got = {(r.query, r.rec_no, r.score) for r in queries.QUERIES["title_search_all"](spark, str(tmp_path)).collect()}
+    got = {(r.query, r.rec_no, r.score) for r in queries.QUERIES["title_search"](spark, str(tmp_path)).collect()}
     titles = [(n, t) for n, t in TITLES if t is not None]
     expected = set()
     for query in {t.lower() for n, t in titles if n % 100 == 0}:
