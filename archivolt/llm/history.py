@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -27,6 +28,8 @@ from archivolt.llm.neardup import ROWS as BAND_ROWS
 from archivolt.llm.shingles import LEAST, THRESHOLD, _Comparable, shingle_hashes, verified
 from archivolt.workspace import BROADCAST_BYTES, new_path, remove, settle
 
+#: Most rows and links of a batch that one task decides.
+ONE_TASK = 200_000
 #: Tokens of a text: conjunctions of five min-hashed shingles, rare by their build. A pair of
 #: similarity 0.7 shares one of 48 with probability 0.9999, of 0.75 almost surely.
 TOKENS = 48
@@ -175,12 +178,46 @@ class History:
         self.appended += 1
 
 
+class _Pass:
+    """The pass in order over the rows and links of one task."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        linked: dict[int, list[int]] = {}
+        for batch in batches:
+            for rec_no, own, h, g, *order in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rec_no is None:
+                    linked.setdefault(h, []).append(g)
+                    linked.setdefault(g, []).append(h)
+                else:
+                    rows.append((*order, rec_no, own, h))
+        rows.sort(key=lambda r: r[:5])  # batch, instant, rec_no
+        ids: set[str] = set()
+        closed: set[int] = set()
+        accepted = []
+        for *_, rec_no, own, h in rows:
+            if own in ids or h in closed:
+                continue
+            accepted.append(rec_no)
+            ids |= {own} - {None}
+            if h is not None:
+                closed.update((h, *linked.get(h, ())))
+        yield pa.RecordBatch.from_arrays([pa.array(accepted, pa.int64())], names=["rec_no"])
+
+
 def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(rec_no) of the rows a pass in order accepts: no accepted row has their id, text or a linked text.
 
-    In each round a row is accepted if it comes first among the open rows of its id, of its
+    A batch of at most ONE_TASK rows and links is passed through by one task. A larger one is
+    decided in rounds by all tasks, with the same result: in each round a row is accepted if it comes first among the open rows of its id, of its
     text and of all linked texts; rows an accepted one excludes are closed.
     """
+    if rows.count() + links.count() <= ONE_TASK:
+        none = F.lit(None).cast("bigint")
+        order = [F.col(f"ord.{c}").alias(f"_{c}") for c in ("last", "b", "late", "t")]
+        all_rows = rows.select("rec_no", "id", "h", none.alias("g"), *order)
+        pairs = links.select(none.alias("rec_no"), F.lit(None).cast("string").alias("id"), "h", "g", *[F.lit(None).cast(k).alias(c) for c, k in all_rows.dtypes[4:]])
+        return all_rows.unionByName(pairs).coalesce(1).mapInArrow(_Pass(), "rec_no bigint")
     both = settle(links.unionByName(links.select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct(), "both-ways")
     repeated = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).filter("_n > 1").select(c, F.lit(True).alias(f"_{c}"))
     linked = both.select("h").distinct().withColumn("_l", F.lit(True))

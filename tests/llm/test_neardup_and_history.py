@@ -80,7 +80,7 @@ def test_instants():
         assert history.instant(bad) is None
 
 
-def test_history_against_a_pass_in_order(spark, rows, tmp_path):
+def test_history_against_a_pass_in_order(spark, rows, tmp_path, monkeypatch):
     rng = random.Random(9)
     times = ["2024-01-15T08:30:00Z", "2024-01-15T16:29:00+08:00", None, "unknown", "2025-01-01T00:00:00Z"]
     table = [(k, rng.choice([1, 2, None]), t, c, rng.choice([None, *(f"web_{x}" for x in range(150))]), rng.choice(times)) for k, (t, c) in enumerate(rows)]
@@ -100,6 +100,9 @@ def test_history_against_a_pass_in_order(spark, rows, tmp_path):
             ids |= {r[4]} - {None}
     assert {r.rec_no for r in history.rejected(df).collect()} == rejected
     assert history.rejected(df.limit(0)).count() == 0
+    with monkeypatch.context() as patch:
+        patch.setattr(history, "ONE_TASK", 0)  # every batch is decided in rounds
+        assert {r.rec_no for r in history.rejected(df).collect()} == rejected
     path = f"file://{tmp_path}/history"  # batch by batch, each in a session that opens what the one before left
     got = set()
     for batch in (1, 2, None):
