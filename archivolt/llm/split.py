@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -85,13 +86,27 @@ def pieces(text: str, splitter: Splitter, title: str | None = None, limit: int =
     return cut(range(len(text) + 1), (paragraphs, [b for _, b in spans], _Lazy(text)), [a for a, _ in spans], limit, overlap)
 
 
+def cuts_whole(units: Sequence[tuple[int, int]], size: int, limit: int) -> bool:
+    """Whether ``cut`` parts a text of ``size`` code points at the ends of ``units`` alone, without a hard cut.
+
+    Prefix sums count the code points inside units only, so that a piece is measured without
+    what stands between them.
+    """
+    inside = np.zeros(size + 1, np.int64)
+    for a, b in units:
+        inside[a + 1 : b + 1] = 1
+    made = cut(np.cumsum(inside).tolist(), ([b for _, b in units],), (), limit, 0)
+    return all(kind != "none" for _, _, kind in made)
+
+
 def boundary(text: str, splitter: Splitter, title: str | None = None, limit: int = LIMIT) -> str:
-    """The first of paragraph, sentence and word of which none in the text is over the limit; else none."""
-    if all(b - a <= limit for a, b in _blocks(text)):
-        return "paragraph"
-    if all(b - a <= limit for a, b in splitter.spans(text, title)):
-        return "sentence"
-    return "word" if all(m.end() - m.start() <= limit for m in _RUN.finditer(text)) else "none"
+    """The first of paragraph, sentence and word whose ends alone cut the text into pieces up to the limit; else none."""
+    levels = (
+        lambda: _blocks(text),
+        lambda: splitter.spans(text, title),
+        lambda: [m.span() for m in _RUN.finditer(text)],
+    )
+    return next((name for name, units in zip(LEVELS, levels, strict=True) if cuts_whole(list(units()), len(text), limit)), "none")
 
 
 class _Found:

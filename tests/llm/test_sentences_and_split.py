@@ -1,5 +1,7 @@
 """Sentence spans, pieces of oversized texts, and what must hold of them for any text."""
 
+import re
+
 import duckdb
 import pytest
 from hypothesis import given, settings
@@ -83,3 +85,11 @@ def test_tables(spark, splitter):
     assert {r.rec_no for r in pieces} == {3} and all(len(r.piece) <= 12 for r in pieces)
     assert {r.rec_no for r in split.oversized(df, "rec_no", "content", "title", 12, splitter.model).collect()} == {3}
     assert sentences.sentences(df.limit(0), "rec_no", "content").count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n.", max_size=80), st.integers(1, 12))
+def test_cuts_at_units_alone(text, limit):
+    """``cut`` needs no hard cut if, and only if, no unit is over the limit."""
+    units = [m.span() for m in re.finditer(r"\S+", text)]
+    assert split.cuts_whole(units, len(text), limit) == all(b - a <= limit for a, b in units)
