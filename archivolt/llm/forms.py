@@ -5,7 +5,9 @@ and word by word for look-alike letters. Words that are not in settled spelling
 up in tries over the settled words of the corpus with an edit automaton in which look-alike
 letters and ignorable characters cost nothing and everything else exceeds the budget; the
 most frequent match is the canonical spelling, and a word without a match takes the
-spelling of the table.
+spelling of the table. Letters that look alike only in some typefaces, or only next to
+letters of another script, are no rule of the table: a word that mixes scripts beyond the
+table is respelled only if the trie finds a word of the corpus that it reads like.
 """
 
 from __future__ import annotations
@@ -28,10 +30,15 @@ CYRILLIC_AS_LATIN = "ABEKMHOPCTYXSIJQWhaeopcyxsijhdqwl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXo"
 
+# Further letters that read as a Latin letter inside a word of another script.
+LOOSE = "αγεηικνορτυχωвгикмнптԁһզհոսցօıɑɡᎪᏴᏟᎬᎻᏦᏞᎷᏢᏚᎢᏙᎳᏃ"
+LOOSE_AS_LATIN = "ayenikvoptuxwbrukmhntdhqhnugoiagABCEHKLMPSTVWZ"
+
 TO_LATIN = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN, strict=True))
 TO_CYRILLIC = {b: a for a, b in reversed(list(zip(CYRILLIC, CYRILLIC_AS_LATIN, strict=True)))}
 TO_GREEK = dict(zip(GREEK_AS_LATIN, GREEK, strict=True))
 SHARED = set(TO_LATIN.values())
+READS_AS = dict(zip(LOOSE, LOOSE_AS_LATIN, strict=True)) | TO_LATIN
 
 #: Compatibility blocks whose characters differ from their plain form in width or build only.
 PLAIN_BLOCKS = (
@@ -69,24 +76,22 @@ UNSETTLED = re.compile("[" + "".join(re.escape(c) for c in sorted(set(TABLE) - s
 UNSETTLED_ABOVE = re.compile("[\U0002f800-\U0002fa1f\U000e0000-\U000e01ff]")
 IGNORABLE = {c for c, plain in TABLE.items() if not plain}
 
-LATIN_RANGE, GREEK_RANGE, CYRILLIC_RANGE, MARKS = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "ͰͱͲͳͶͷͻ-ͽͿΆΈ-Ͽ", "Ѐ-ԯ", "̀-ͯ"
-WORD = re.compile(f"[{LATIN_RANGE}{GREEK_RANGE}{CYRILLIC_RANGE}{MARKS}]+")
-_W = f"[{LATIN_RANGE}{GREEK_RANGE}{CYRILLIC_RANGE}{MARKS}]"
-_PAIRS = "|".join(
-    f"[{a}][{MARKS}]*[{b}]"
-    for a in (LATIN_RANGE, GREEK_RANGE, CYRILLIC_RANGE)
-    for b in (LATIN_RANGE, GREEK_RANGE, CYRILLIC_RANGE)
-    if a != b
-)
+LATIN_RANGE, GREEK_RANGE, CYRILLIC_RANGE, MARKS = "A-Za-zÀ-ÖØ-öø-ɏɑɡḀ-ỿ", "ͰͱͲͳͶͷͻ-ͽͿΆΈ-Ͽ", "Ѐ-ԯ", "̀-ͯ"
+ARMENIAN_RANGE, CHEROKEE_RANGE = "Ա-Ֆա-ֈ", "Ꭰ-Ᏽ"
+SCRIPTS = (LATIN_RANGE, GREEK_RANGE, CYRILLIC_RANGE, ARMENIAN_RANGE, CHEROKEE_RANGE)
+_W = f"[{''.join(SCRIPTS)}{MARKS}]"
+WORD = re.compile(f"{_W}+")
+_PAIRS = "|".join(f"[{a}][{MARKS}]*[{''.join(b for b in SCRIPTS if b != a)}]" for a in SCRIPTS)
+MIXED = re.compile(_PAIRS)
 #: Finds a word that mixes scripts, or one made of look-alike letters only.
 UNSURE = re.compile(f"{_PAIRS}|(?<!{_W})[{CYRILLIC}{GREEK}{MARKS}ЁёЇї]+(?!{_W})")
 
 
-_FOREIGN = re.compile(f"[{GREEK_RANGE}{CYRILLIC_RANGE}]")
+_FOREIGN = re.compile(f"[{''.join(SCRIPTS[1:])}]")
 
 
 def unsure(text: str) -> bool:
-    """Whether a word of the text may have to be respelled; only Greek and Cyrillic letters give cause."""
+    """Whether a word of the text may have to be respelled; only letters of other scripts than Latin give cause."""
     return bool(_FOREIGN.search(text) and UNSURE.search(text))
 
 
@@ -97,6 +102,13 @@ def skeleton(word: str) -> str:
     )
 
 
+def reading(word: str) -> str:
+    """The word with every letter that may read as a Latin one as that: equal wherever ``SpellingTrie`` can match."""
+    return unicodedata.normalize(
+        "NFC", "".join(READS_AS.get(c, c) for c in unicodedata.normalize("NFD", word) if c not in IGNORABLE)
+    )
+
+
 def settled_word(word: str) -> str:
     """The table's spelling of a word; the same for all words with the same skeleton.
 
@@ -159,7 +171,8 @@ class SpellingTrie:
     """A trie over settled spellings, walked by an edit automaton.
 
     A look-alike letter in place of another and an ignorable character cost 0, any other
-    edit costs 1; a branch is left as soon as its cost exceeds ``budget``.
+    edit costs 1; a branch is left as soon as its cost exceeds ``budget``. A word that mixes
+    scripts beyond the table is matched by all letters that may read as another.
     """
 
     def __init__(self, words: Iterable[tuple[str, int]]):
@@ -173,7 +186,7 @@ class SpellingTrie:
     def matches(self, word: str, budget: int = 0) -> list[tuple[str, int]]:
         """Spellings within ``budget``, with their counts."""
         letters, found, states = unicodedata.normalize("NFD", word), {}, [(self.root, 0, 0)]
-        seen = set()
+        seen, alike = set(), READS_AS if MIXED.search(settled_word(word)) else TO_LATIN
         while states:
             node, at, cost = states.pop()
             if cost > budget or (id(node), at, cost) in seen:
@@ -186,7 +199,7 @@ class SpellingTrie:
                 states.append((node, at + 1, cost + (here not in IGNORABLE)))
                 for c, child in node.items():
                     if c:
-                        same = c == here or TO_LATIN.get(c, c) == TO_LATIN.get(here, here)
+                        same = c == here or alike.get(c, c) == alike.get(here, here)
                         states.append((child, at + 1, cost + (not same)))
             if cost < budget:
                 states += [(child, at, cost + 1) for c, child in node.items() if c]
@@ -205,42 +218,47 @@ def hash_pair(text: str) -> tuple[int, int]:
     return high - ((high >> 63) << 64), low - ((low >> 63) << 64)
 
 
+def doubtful_word(word: str) -> bool:
+    """Whether a word has to be looked up: the table spells it differently, or it mixes scripts even so."""
+    return _settled[word] != word or bool(MIXED.search(word))
+
+
 def _canonical_words(words: DataFrame) -> DataFrame:
-    """(word, canonical) of the unsettled words in (word, skeleton, n).
+    """(word, canonical) of the doubtful words in (word, skeleton, n).
 
     Words with the same first three letters of the skeleton meet in one trie; such a group
-    is the vocabulary of a prefix, whatever the number of rows.
+    is the vocabulary of a prefix, whatever the number of rows. The vocabulary is that of
+    words without doubt.
     """
     vocabulary = words.groupBy("word", "skeleton").agg(F.sum("n").alias("n"))
-    unsettled = F.col("word") != F.col("settled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = pa.schema([("word", pa.string()), ("canonical", pa.string())])
         prefix, held = None, []
 
         def matched() -> Iterator[pa.RecordBatch]:
-            doubtful = [w for w, settled, _ in held if w != settled]
+            doubtful = [w for w, unsettled, _ in held if unsettled]
             if doubtful:
-                trie = SpellingTrie((w, n) for w, settled, n in held if w == settled)
+                trie = SpellingTrie((w, n) for w, unsettled, n in held if not unsettled)
                 made = [trie.canonical(w) or settled_word(w) for w in doubtful]
                 yield record_batch({"word": doubtful, "canonical": made}, target)
 
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in ("word", "settled", "n", "prefix")), strict=True)
-            for word, settled, n, start in rows:
+            rows = zip(*(batch.column(k).to_pylist() for k in ("word", "doubtful", "n", "prefix")), strict=True)
+            for word, unsettled, n, start in rows:
                 if start != prefix:
                     yield from matched()
                     prefix, held = start, []
-                held.append((word, settled, n))
+                held.append((word, unsettled, n))
         yield from matched()
 
     settled = map_slices(
-        vocabulary, "word string, settled string, n bigint, skeleton string, prefix string", _settle
+        vocabulary, "word string, doubtful boolean, n bigint, skeleton string, prefix string", _settle
     )
-    wanted = settled.filter(unsettled).select("skeleton").distinct()
+    wanted = settled.filter("doubtful").select("skeleton").distinct()
     return (
         settled.join(wanted, "skeleton", "left_semi")
-        .select("word", "settled", "n", "prefix")
+        .select("word", "doubtful", "n", "prefix")
         .repartition("prefix")
         .sortWithinPartitions("prefix", "word")
         .mapInArrow(run, "word string, canonical string")
@@ -249,10 +267,9 @@ def _canonical_words(words: DataFrame) -> DataFrame:
 
 def _settle(part: pa.RecordBatch) -> dict:
     words, skeletons = part.column("word").to_pylist(), part.column("skeleton").to_pylist()
-    made = [settled_word(w) for w in words]
     return {
         "word": words,
-        "settled": made,
+        "doubtful": [doubtful_word(w) for w in words],
         "n": part.column("n"),
         "skeleton": skeletons,
         "prefix": [s[:3] for s in skeletons],
@@ -308,7 +325,7 @@ class _First:
                     plain = text if text.isascii() and text.isprintable() else plain_characters(text)
                     words: set[str] = set()
                     if unsure(plain):
-                        words = {w for w in WORD.findall(plain) if _settled[w] != w}
+                        words = {w for w in WORD.findall(plain) if doubtful_word(w)}
                     out[self.key].append(k)
                     out["field"].append(field)
                     out["text"].append(plain)
@@ -335,7 +352,7 @@ def _count_words(part: pa.RecordBatch) -> dict:
         for word in WORD.findall(text):
             counts[word] = counts.get(word, 0) + 1
     words = list(counts)
-    return {"word": words, "skeleton": [skeleton(w) for w in words], "n": list(counts.values())}
+    return {"word": words, "skeleton": [reading(w) for w in words], "n": list(counts.values())}
 
 
 def same_reading(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -343,7 +360,7 @@ def same_reading(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     Null and empty values give no pair, nor do equal values; each pair of keys comes once
     a field, the smaller first. Groups with one spelling only, however large, are dropped
-    before any pair is made; pairs are made between spellings, never within one.
+    before any pair is made; pairs are made of distinct spellings and only then of their rows.
     """
     kind = df.schema[key].dataType.simpleString()
     forms = consistent_forms(df, key, fields)
@@ -352,20 +369,15 @@ def same_reading(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     raw = raw.filter(F.length("raw") > 0).select(key, "field", F.xxhash64("raw").alias("raw"))
     rows = read.join(raw, [key, "field"]).distinct()
     rows = settle(rows, "readings")
-    mixed = (
-        rows.groupBy("field", "h", "l")
-        .agg(F.min("raw").alias("_least"), F.max("raw").alias("_most"))
-        .filter(F.col("_least") != F.col("_most"))
-        .select("field", "h", "l")
-    )
-    rows = rows.join(mixed, ["field", "h", "l"], "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.field") == F.col("b.field")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.l") == F.col("b.l"))
-    return (
-        a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.raw") != F.col("b.raw")))
-        .select("a.field", F.col(f"a.{key}").alias("rec_a"), F.col(f"b.{key}").alias("rec_b"))
-        .distinct()
-    )
+    group = ["field", "h", "l"]
+    spellings = rows.select(*group, "raw").distinct()
+    many = spellings.groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1").select(*group)
+    spellings = settle(spellings.join(many, group, "left_semi"), "spellings")
+    pairs = spellings.join(spellings.select(*group, F.col("raw").alias("_other")), group).filter("raw < _other")
+    left = rows.select(*group, "raw", F.col(key).alias("_a"))
+    right = rows.select(*group, F.col("raw").alias("_other"), F.col(key).alias("_b"))
+    found = pairs.join(left, [*group, "raw"]).join(right, [*group, "_other"]).filter("_a <> _b")
+    return found.select("field", F.least("_a", "_b").alias("rec_a"), F.greatest("_a", "_b").alias("rec_b")).distinct()
 
 
 class _HashForm:

@@ -50,3 +50,14 @@ def test_same_reading(spark):
     assert forms.same_reading(df.limit(0), "rec_no", ["title", "content"]).count() == 0
     made = {(r.rec_no, r.field): r.form for r in forms.consistent_forms(df, "rec_no", ["title"]).collect()}
     assert made[(2, "title")] == "Paper one"
+
+
+def test_the_corpus_decides_loose_look_alikes(spark):
+    """Words that mix scripts beyond the table take a corpus word they read like; without one, or alone in their script, they stay."""
+    rows = [(1, "the ρrice is high"), (2, "the price is high"), (3, "a price tag"), (4, "the кinоmаtiс"), (5, "москва"), (6, "ᎪᏴᏟ βρ"), (7, "the prıce is high"), (8, "zρx")]
+    df = spark.createDataFrame(rows, "rec_no bigint, title string")
+    made = {r.rec_no: r.form for r in forms.consistent_forms(df, "rec_no", ["title"]).collect()}
+    assert made[1] == made[2] and made[5] == "москва" and made[6] == "ᎪᏴᏟ βρ" and made[8] == "zρx"
+    decided = [n for n, text in rows if made[n] != forms.consistent_form(text)]
+    assert decided == [1]
+    assert {tuple(r) for r in forms.same_reading(df, "rec_no", ["title"]).collect()} == {("title", 1, 2)}
