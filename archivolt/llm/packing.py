@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from archivolt.workspace import settle
 
 CAPACITY, MOST_DOCUMENTS = 2048, 256
+#: Attention cost a container may have, as a share of that of one document that fills it.
+ATTENTION = 0.9375
 #: Tokens and rows that one task packs at a time.
 GROUP_TOKENS, GROUP_ROWS = 4_000_000, 40_000
 #: Weights of tokens, documents and attention cost in the residual norm.
@@ -22,7 +24,8 @@ def best_fit(sizes: np.ndarray, capacity: int, documents: int, attention: int) -
     """The bin of each size, largest first: of all open bins with room in tokens, documents
     and attention cost (the sum of squared sizes), the one whose weighted residual is least.
 
-    Ties go to the oldest bin; sizes must not be over ``capacity``.
+    Ties go to the oldest bin; sizes must not be over ``capacity``. A size whose square alone
+    is over ``attention`` has a bin of its own, as it may not be cut.
     """
     n = len(sizes)
     bins = np.empty(n, np.int64)
@@ -94,14 +97,15 @@ def pack(
     """(container_id, key, piece_no, start_token, n_tokens) from (key, n_tokens).
 
     Every row is in one container, whole unless it alone is over ``capacity``: then it is
-    cut into full containers and a rest. No container holds more than ``capacity`` tokens,
-    ``documents`` pieces or ``attention`` cost. Rows of no tokens (and null sizes) are
+    cut into full containers and a rest. No container holds more than ``capacity`` tokens or
+    ``documents`` pieces, nor more than ``attention`` cost (the sum of squared sizes) unless
+    one piece alone has it. Rows of no tokens (and null sizes) are
     placed too; an empty table gives no rows. Rows are packed in groups of bounded size,
     drawn by a hash of the key, so that no task grows with the data; each group leaves at
     most a few containers open.
     """
     kind = sized.schema[key].dataType.simpleString()
-    attention = attention or capacity * capacity
+    attention = int(ATTENTION * capacity * capacity) if attention is None else attention
     sized = settle(sized.select(key, F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")), "sizes")
     totals = sized.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).first()
     groups = max(1, -(-int(totals["t"] or 0) // GROUP_TOKENS), -(-totals["n"] // GROUP_ROWS))
