@@ -73,7 +73,7 @@ def int_lists(flat: Any, offsets: Any, kind: pa.DataType) -> pa.ListArray:
 
 
 def bounded_sample(df: DataFrame, columns: list[str], rows: int, wanted: Any = None) -> list:
-    """At most ``rows`` rows of ``columns``, those with the least hash; the same at every partitioning.
+    """At most ``rows`` different rows of ``columns``, those with the least hash; the same at every partitioning.
 
     A first cut by hash leaves about one and a half times ``rows``, so that what reaches the driver
     does not grow with the table or its partitions. ``wanted`` filters the sampled rows.
@@ -84,4 +84,5 @@ def bounded_sample(df: DataFrame, columns: list[str], rows: int, wanted: Any = N
         hashed = hashed.filter(F.col("_hash").bitwiseAND((1 << 31) - 1) < int((1 << 31) * 1.5 * rows / total))
     if wanted is not None:
         hashed = hashed.filter(wanted)
+    hashed = hashed.dropDuplicates(["_hash"])  # copies of one row are one row of the sample
     return hashed.orderBy("_hash", *columns).limit(rows).select(*columns).collect()
