@@ -364,3 +364,30 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
     """(key, n_tokens) of every row; null and empty texts have none."""
     kind = df.schema[key].dataType.simpleString()
     return map_slices(df.select(key, text), f"{key} {kind}, n_tokens bigint", _Encode(key, text, vocabulary, True), rows=1024, size=1 << 20)
+
+
+@lru_cache(2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every token by its id."""
+    with open(path, "rb") as file:
+        parts = [line.split() for line in file if line.strip()]
+    made = [b""] * len(parts)
+    for token, number in parts:
+        made[int(number)] = base64.b64decode(token)
+    return made
+
+
+class _Decode:
+    def __init__(self, key: str, path: str):
+        self.key, self.path = key, path
+
+    def __call__(self, part: pa.RecordBatch) -> dict:
+        known = token_bytes(self.path)
+        made = [b"".join(map(known.__getitem__, ids)).decode("utf-8", "surrogatepass") for ids in part.column("ids").to_pylist()]
+        return {self.key: part.column(self.key), "text": made}
+
+
+def texts_of(encoded: DataFrame, key: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text) of (key, ids): what was encoded, nulls as empty texts."""
+    kind = encoded.schema[key].dataType.simpleString()
+    return map_slices(encoded.select(key, "ids"), f"{key} {kind}, text string", _Decode(key, vocabulary), rows=1024, size=1 << 20)

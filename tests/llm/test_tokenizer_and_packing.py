@@ -46,10 +46,18 @@ def test_defined_ids(reference):
 @given(st.lists(st.integers(0, 100), max_size=200), st.integers(1, 9))
 def test_bins_hold_every_limit(sizes, documents):
     sizes = np.array(sizes, np.int64)
-    bins = packing.best_fit(sizes, 100, documents, 6000 if len(sizes) and sizes.max() ** 2 <= 6000 else 10_000)
+    bins = packing.best_fit(sizes, 100, documents, 6000)
     for b in set(bins.tolist()):
         own = sizes[bins == b]
-        assert own.sum() <= 100 and len(own) <= documents
+        assert own.sum() <= 100 and len(own) <= documents and ((own * own).sum() <= 6000 or len(own) == 1)
+
+
+def test_attention_binds():
+    """A document whose cost leaves no room has a container of its own, where tokens alone would let another in."""
+    sizes = np.array([2000, 40, 1900, 40], np.int64)
+    cost = int(packing.ATTENTION * packing.CAPACITY**2)
+    assert packing.best_fit(sizes, packing.CAPACITY, 256, packing.CAPACITY**2).tolist() == [0, 0, 1, 1]
+    assert packing.best_fit(sizes, packing.CAPACITY, 256, cost).tolist() == [0, 1, 1, 1]
 
 
 def test_containers(spark):
@@ -67,6 +75,13 @@ def test_containers(spark):
     assert packing.pack(df.limit(0), "doc_id").count() == 0
 
 
+def test_ids_stand_for_their_texts(spark):
+    texts = ["", None, "a b  c", "长文 и 𝒳\u0000 é", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    back = {r.doc_id: r.text for r in tokenizer.texts_of(tokenizer.token_ids(df, "doc_id", "text"), "doc_id").collect()}
+    assert back == {k: x or "" for k, x in enumerate(texts)}
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, "")], "doc_id bigint, text string").selectExpr("*", "1 AS ids", "2 AS n_tokens")
     got = sorted((r.doc_id, r.ids) for r in tokenizer.token_ids(df, "doc_id", "text").collect())
