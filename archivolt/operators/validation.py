@@ -64,7 +64,9 @@ def valid(df: DataFrame) -> DataFrame:
 def raw_failures(df: DataFrame, value: str = "value") -> DataFrame:
     """(value, field, reason): first failure of JSON lines, with types and unknown fields checked too.
 
-    A line that is no JSON object fails as a whole, with a null field.
+    Missing fields come first in schema order, then unknown ones by name, then values in the
+    order of the record's own fields. A line that is no JSON object fails as a whole, with a
+    null field.
     """
     record = F.try_parse_json(value)
     keys = F.json_object_keys(value)
@@ -92,7 +94,9 @@ def raw_failures(df: DataFrame, value: str = "value") -> DataFrame:
             checks.append(_failure(~is_http(text(field)), field, "uri"))
         elif field in ("created_at", "saved_at"):
             checks.append(_failure(~is_date_time(text(field)), field, "date-time"))
-    first = F.get(F.filter(F.array(*checks), lambda x: x.isNotNull()), F.lit(0))
+    place = lambda x: F.when(x["field"] == "", F.lit(0)).otherwise(F.array_position(keys, x["field"]))
+    found = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    first = F.array_min(F.transform(found, lambda x, k: F.struct(place(x).alias("at"), k.alias("k"), x["field"].alias("field"), x["reason"].alias("reason"))))
     named = F.when(keys.isNull(), F.lit(None)).when(first.reason == "missing", F.get(absent, F.lit(0))).when(first.reason == "extra", F.get(extra, F.lit(0))).otherwise(first.field)
     broken = df.select(value, keys.alias("_k"), named.alias("field"), first.reason.alias("reason"))
     return broken.select(value, "field", F.when(F.col("_k").isNull(), F.lit("json")).otherwise(F.col("reason")).alias("reason")).filter(

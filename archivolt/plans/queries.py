@@ -157,6 +157,14 @@ def any_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconciled(spark, sf_dir).agg(F.bool_or(F.col("status") != "ok").alias("any_mismatch"), F.count("*").alias("audits"))
 
 
+@query(f"SELECT collection_id, greatest(max(coalesce(scanned_total, 0)), any_value(coalesce(e.n, 0))) AS exported FROM audit_report LEFT JOIN ({_EXPORTED}) e USING (collection_id) WHERE collection_id IS NOT NULL GROUP BY collection_id")
+def export_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each collection's export is: the greater of what its state and what its output say; audits stand for states."""
+    audits = table(spark, sf_dir, "audit_report").filter("collection_id IS NOT NULL").groupBy("collection_id").agg(F.max(F.coalesce("scanned_total", F.lit(0))).alias("known"))
+    counts = _exported(spark, sf_dir).groupBy("collection_id").agg(F.count("*").alias("n"))
+    return audits.join(counts, "collection_id", "left").select("collection_id", F.greatest("known", F.coalesce("n", F.lit(0))).alias("exported"))
+
+
 @query(f"SELECT DISTINCT collection_id FROM ({_EXPORTED}) WHERE collection_id <> '' AND collection_id NOT IN (SELECT collection_id FROM audit_report WHERE collection_id IS NOT NULL)")
 def pending_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections that were never audited."""

@@ -29,6 +29,10 @@ def test_validation_of_raw_lines(spark):
     import json
 
     lines = [json.dumps(ARTICLE), json.dumps(ARTICLE | {"zz": 1, "aa": 2}), json.dumps(ARTICLE | {"title": 5}), json.dumps(ARTICLE | {"images": ["a", 1]}), "{oops", json.dumps({"id": 1})]
+    reordered = json.dumps({"created_at": "x", "url": "y"} | {k: v for k, v in ARTICLE.items() if k not in ("created_at", "url")})
+    both = json.dumps(ARTICLE | {"created_at": "x", "url": "y"})
+    rows = spark.createDataFrame([(reordered,), (both,)], "value string")
+    assert {r.value: r.field for r in validation.raw_failures(rows).collect()} == {reordered: "created_at", both: "url"}
     df = spark.createDataFrame([(x,) for x in lines], "value string")
     found = {r.value: (r.field, r.reason) for r in validation.raw_failures(df).collect()}
     assert lines[0] not in found
