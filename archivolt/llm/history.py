@@ -91,6 +91,13 @@ class _Rows:
         }
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString().rstrip("/")
+
+
 class History:
     """Everything accepted so far; ``check`` decides a batch and ``append`` takes its accepted rows in.
 
@@ -101,7 +108,7 @@ class History:
     """
 
     def __init__(self, spark: SparkSession, path: str, least: int = LEAST, threshold: float = THRESHOLD, buckets: int | None = None):
-        self.spark, self.path, self.least, self.threshold = spark, path.rstrip("/"), least, threshold
+        self.spark, self.path, self.least, self.threshold = spark, qualified(spark, path), least, threshold
         self.marks = f"{self.path}/marks"
         known = [json.loads(r.value) for r in spark.read.text(self.marks).collect()] if self._exists(self.marks) else []
         self.buckets = known[0]["buckets"] if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -34,6 +34,11 @@ def write(df: DataFrame, path: str, key: str, buckets: int) -> None:
     rows.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).mode("overwrite").parquet(path)
 
 
+def mounted(parts: list[str]) -> bool:
+    """Whether the qualified paths are folders that every task can open."""
+    return all(p.startswith("file:") for p in parts)
+
+
 def lookup(asked: DataFrame, key: str, parts: list[str], schema: StructType, stored: str, buckets: int, among: dict[str, str] | None = None) -> DataFrame:
     """``asked`` with the columns of every stored row whose ``stored`` key equals its ``key``.
 
@@ -49,8 +54,7 @@ def lookup(asked: DataFrame, key: str, parts: list[str], schema: StructType, sto
     target, source = to_arrow_schema(made), to_arrow_schema(StructType(made.fields[: len(asked.columns)]))
     names, fields = asked.columns, schema.names
     own = [among[f] for f in fields] if among else []
-    folders = [p.partition(":")[2] if p.startswith("file:") else p for p in parts]
-    far = not all(p.startswith("file:") or "://" not in p for p in parts)
+    folders, far = [p.partition(":")[2] for p in parts], not mounted(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -89,7 +93,7 @@ def lookup(asked: DataFrame, key: str, parts: list[str], schema: StructType, sto
     found = rows.mapInArrow(run, made) if among or not far else None
     if not far:
         return found
-    known = asked.sparkSession.read.schema(schema).parquet(*parts)
+    known = asked.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(*parts)
     joined = asked.join(known, F.col(key) == F.col(stored)).select(*names, *fields)
     return found.unionByName(joined.withColumn("stored", F.lit(True))) if among else joined
 
@@ -100,7 +104,7 @@ def _groups(folder: str, keys: np.ndarray, stored: str, fields: list[str]) -> It
     for info in system.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)):
         if not info.path.endswith(".parquet"):
             continue
-        with pq.ParquetFile(info.path, filesystem=system, memory_map=True) as file:
+        with pq.ParquetFile(info.path, filesystem=system) as file:
             wanted = []
             for k in range(file.metadata.num_row_groups):
                 group = file.metadata.row_group(k)
