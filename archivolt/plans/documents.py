@@ -29,15 +29,15 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT rec_no, sha256(title_ || chr(31) || author_ || chr(31) || content_ || chr(31) || chr(31) || array_to_string(list_transform(coalesce(images, []), lambda x: coalesce(x, '')), chr(10))) AS normalised,
-    CASE WHEN title IS NULL AND author IS NULL THEN sha256('{}') END AS source FROM (SELECT *,
+    sha256('{' || array_to_string(list_filter(['"author":' || CAST(to_json(author) AS VARCHAR), '"title":' || CAST(to_json(title) AS VARCHAR)], lambda x: x IS NOT NULL AND NOT ends_with(x, ':null')), ',') || '}') AS source FROM (SELECT *,
     nfc_normalize(trim(regexp_replace(regexp_replace(coalesce(title, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS title_,
     nfc_normalize(trim(regexp_replace(regexp_replace(coalesce(author, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS author_,
     nfc_normalize(trim(regexp_replace(regexp_replace(coalesce(content, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')) AS content_ FROM articles)"""
 )
 def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised hash of every article, its address left out, and the source hash of those without title and author."""
+    """Normalised hash of every article, its address left out, and the source hash of its title and author."""
     rows = table(spark, sf_dir, "articles").withColumn("no_url", F.lit(None).cast("string"))
-    source = F.when(F.col("title").isNull() & F.col("author").isNull(), documents.source_hash("title", "author"))
+    source = documents.source_hash("title", "author")
     return rows.select("rec_no", documents.normalised_hash("title", "author", "content", "no_url", "images").alias("normalised"), source.alias("source"))
 
 

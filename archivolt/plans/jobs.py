@@ -72,12 +72,12 @@ def audit(spark: SparkSession, addresses: Sequence[str], report: str, **how) ->
     """Audit the listings that the report doesn't name yet, append them to it and return them."""
     known = {r.collection_id for r in jsonl.known_ids(spark, report, "collection_id").collect()}
     named = {a: listing_name(a) for a in addresses}
-    todo = [a for a in addresses if named[a] not in known]
+    todo = [a for a in named if named[a] not in known]
     if not todo:
         return spark.createDataFrame([], "collection_id string, reported_total bigint, scanned_total bigint, type_counts map<string,bigint>, page_count bigint, warnings array<string>")
     names = spark.createDataFrame([(a, named[a]) for a in todo], "address string, collection_id string")
-    found = pages(spark, todo, **how).join(F.broadcast(names), "address")
-    made = settle(archive.audit_pages(found, "collection_id"), "audit")
+    found = archive.audit_pages(pages(spark, todo, **how), "address")
+    made = settle(found.join(F.broadcast(names), "address").select("collection_id", *[c for c in found.columns if c != "address"]), "audit")
     made.select(F.to_json(F.struct(*sorted(made.columns)), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("append").text(report)
     return made
 
