@@ -175,11 +175,14 @@ class History:
         """Take the accepted rows of a checked batch into the history."""
         n = self.appended
         kept = settle(texts.join(_small(taken.filter("h is not null").select("h").distinct(), 8), "h", "left_semi"), "kept")
-        keyed.write(kept.select(F.explode("bands").alias("token"), F.col("h").alias("g")), f"{self.path}/postings/{n}", "token", self.buckets)
         stored = rows.join(_small(kept.select(F.col("keeper").alias("rec_no")), 8), "rec_no", "left_semi")
-        keyed.write(stored.select(F.col("h").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("text").alias("old_text")), f"{self.path}/texts/{n}", "k", self.buckets)
-        ids = taken.filter("id is not null").select(F.xxhash64("id").alias("id_hash"), F.col("id").alias("old_id")).distinct()
-        keyed.write(ids, f"{self.path}/ids/{n}", "id_hash", self.buckets)
+        made = {
+            "postings": kept.select(F.explode("bands").alias("token"), F.col("h").alias("g")),
+            "texts": stored.select(F.col("h").alias("k"), F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("text").alias("old_text")),
+            "ids": taken.filter("id is not null").select(F.xxhash64("id").alias("id_hash"), F.col("id").alias("old_id")).distinct(),
+        }
+        with ThreadPoolExecutor(len(made)) as writers:  # none depends on another
+            list(writers.map(lambda x: keyed.write(x[1], f"{self.path}/{x[0]}/{n}", x[1].columns[0], self.buckets), made.items()))
         mark = json.dumps({"append": n, "buckets": self.buckets})
         self.spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("append").text(self.marks)
         self.appended += 1
