@@ -2,13 +2,13 @@
 
 A page is cut into blocks at line ends and terminal punctuation, and the phrases of all blocks
 of all pages (words in the form of problem 4, pairs of neighbouring characters where no spaces
-part words, five-word windows of short lines, the domains of links) are exploded and counted
+part words, every two of them that follow each other in a block, five-word windows of short lines, the domains of links) are exploded and counted
 by distinct hosts, in list-like blocks and in other blocks. A phrase that stands in the lists
 of several hosts is replicated; one that stands on no more hosts outside lists is bait. A
 block counts when enough of its phrases are replicated. How many that is depends on its list
 density: the lists by build (links, tags, bracketed or separated items, product lines, words
 that come again and again) together need few of them, any other block
-needs a share of its words to be bait, and a run of short lines a share of its lines. A page
+needs a share of its words to be bait or in phrases that are, and a run of short lines a share of its lines. A page
 is flagged when more than half of its text is in such blocks; without phrases that other
 hosts hold, none is.
 """
@@ -30,14 +30,18 @@ from pyspark.sql import functions as F
 
 from archivolt.llm.arrow import map_slices
 from archivolt.llm.forms import COMMON, consistent_form
+from archivolt.llm.shingles import mix
 from archivolt.workspace import BROADCAST_BYTES, settle
 
 #: A page needs so many list units, a phrase so many hosts (or repeats in its page).
 LEAST_UNITS, HOSTS, REPEATS = 6, 3, 3
 #: Share of the lines of a run that must hold a replicated phrase.
 RUN_SHARE = 0.3
-#: Share of the words of a block that must be bait.
+#: Share of the words of a block that must be bait, alone or with a neighbour; pairs of words
+#: cover every longer phrase, which can't be on more hosts than its pairs.
 BAIT_SHARE = 0.16
+#: Times as many hosts must hold a pair of words in lists as outside them: headings and their lists share pairs too.
+PAIR_TIMES = 3
 #: Share of the words of a page's lists by build that must be replicated.
 DENSE_SHARE = 0.02
 #: Parts into which every phrase is split where the replicated ones are too many to broadcast.
@@ -229,7 +233,8 @@ def _phrases(words: list[str]) -> list[str]:
 
 
 def _hash(phrase: str) -> int:
-    return xxhash.xxh3_64_intdigest(phrase) - (1 << 63)
+    """An even number, 2 in its last two bits for a number; those of pairs are odd, with 3 if they hold a number."""
+    return (xxhash.xxh3_64_intdigest(phrase) & ~3 | 2 * phrase.isdigit()) - (1 << 63)
 
 
 class _Hashes(dict):
@@ -249,6 +254,26 @@ def _array(values: array) -> pa.Array:
     return pa.array(np.asarray(values))
 
 
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases of two neighbouring words, from those of the words."""
+    own = words.view(np.uint64)
+    kind = np.uint64(1) | (own[:-1] | own[1:]) & np.uint64(2)
+    return (mix(own[:-1] * _PAIR + own[1:], 1) & ~np.uint64(3) | kind).view(np.int64)
+
+
+def _phrased(blocks: list[list[int]]) -> list[list[int]]:
+    """The words of each block with its pairs of words."""
+    pairs = _pairs(np.array([h for words in blocks for h in words], np.int64)).tolist()
+    out, start = [], 0
+    for words in blocks:
+        out.append(words + pairs[start : start + max(0, len(words) - 1)])
+        start += len(words)
+    return out
+
+
 class _Lists:
     """Lists of 64-bit numbers one after another."""
 
@@ -262,6 +287,13 @@ class _Lists:
     def made(self) -> pa.ListArray:
         return pa.ListArray.from_arrays(_array(self.ends), _array(self.flat))
 
+    def pairs(self, wanted: np.ndarray) -> pa.ListArray:
+        """The pairs of neighbours in each of the ``wanted`` lists, none in the others."""
+        ends = np.asarray(self.ends)
+        sizes = np.where(wanted, np.maximum(np.diff(ends) - 1, 0), 0)
+        kept = np.repeat(np.column_stack((wanted, np.zeros(len(wanted), bool))).ravel(), np.column_stack((np.maximum(np.diff(ends) - 1, 0), np.minimum(np.diff(ends), 1))).ravel())
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(_pairs(np.asarray(self.flat, np.int64))[kept[:-1]]))
+
 
 class _Evidence:
     """Blocks of each page with the hashes of their phrases, and the phrases of its lists."""
@@ -279,6 +311,9 @@ class _Evidence:
         def hashed(phrases: list[str]) -> Iterator[int]:
             return map(_known.__getitem__, phrases)
 
+        def phrased(blocks: list[list[str]]) -> list[list[int]]:
+            return _phrased([list(hashed(words)) for words in blocks])
+
         def keep(size: int, build: bool, words: list[str]) -> None:
             sizes.append(size)
             dense.append(build)
@@ -299,11 +334,11 @@ class _Evidence:
                         repeated.add(-1 - k)
                 repeated.update(k for k, words in short.items() if words and sum(often[p] >= REPEATS for p in words) >= 0.75 * len(words))
             lists = [_words(block, form) for _, block in page.listed]
-            listed = {h for words in lists for h in hashed(words)}
+            listed = {h for phrases in phrased(lists) for h in phrases}
             held, lists = (sum(size for size, _ in page.listed), lists) if page.dense else (0, [])
             for k, (size, run) in enumerate(page.runs):
                 each = [_words(line, form) for line in run]
-                units = [{*hashed(phrases), *hashed(words)} for phrases, words in zip(own[k], each, strict=True)]
+                units = [{*hashed(phrases), *words} for phrases, words in zip(own[k], phrased(each), strict=True)]
                 listed.update(*units)
                 if -1 - k in repeated:
                     held += size
@@ -318,7 +353,7 @@ class _Evidence:
                 if k in repeated:
                     held += size
                     lists.append(words)
-                    listed.update(hashed(words))
+                    listed.update(*phrased([words]))
                 else:
                     keep(size, False, words)
             if held:
@@ -328,7 +363,8 @@ class _Evidence:
                 column.append(value)
             blocks_to.append(len(sizes))
             runs_to.append(len(run_sizes))
-        blocks = pa.StructArray.from_arrays([_array(sizes), _array(dense).cast(pa.bool_()), words_of.made()], ["size", "dense", "words"])
+        plain = np.asarray(dense, np.int8) == 0  # the words of a replicated pair are replicated: lists by build need no pairs
+        blocks = pa.StructArray.from_arrays([_array(sizes), _array(dense).cast(pa.bool_()), words_of.made(), words_of.pairs(plain)], ["size", "dense", "words", "pairs"])
         runs = pa.StructArray.from_arrays([_array(run_sizes), pa.ListArray.from_arrays(_array(units_to), units_of.made())], ["size", "units"])
         made = {"_listed": phrases_of.made(), "_runs": pa.ListArray.from_arrays(_array(runs_to), runs), "_blocks": pa.ListArray.from_arrays(_array(blocks_to), blocks)}
         return out | made
@@ -353,27 +389,30 @@ def stuffed_pages(df: DataFrame, key: str, text: str, host: Column, hosts: int =
     rows = df.select(key, text, F.xxhash64(host).alias("_host"))
     schema = (
         f"{key} {kind}, _row bigint, _host bigint, _total bigint, _listed array<bigint>,"
-        " _runs array<struct<size: int, units: array<array<bigint>>>>, _blocks array<struct<size: int, dense: boolean, words: array<bigint>>>"
+        " _runs array<struct<size: int, units: array<array<bigint>>>>, _blocks array<struct<size: int, dense: boolean, words: array<bigint>, pairs: array<bigint>>>"
     )
     pages = settle(map_slices(rows, schema, _Evidence(key, text)), "list-evidence")
     by_host = lambda phrases: phrases.distinct().groupBy("_phrase").agg(F.count("*").alias("_hosts"))
-    listed = settle(by_host(pages.select("_host", F.explode("_listed").alias("_phrase"))).filter(F.col("_hosts") >= hosts), "list-phrases")
+    listed = settle(by_host(pages.select("_host", F.explode("_listed").alias("_phrase"))).filter((F.col("_hosts") >= hosts) & (F.col("_phrase").bitwiseAND(3) != 3)), "list-phrases")  # a pair with a number is no keyword
     small = 17 * listed.count() <= BROADCAST_BYTES
-    plain = F.array_distinct(F.flatten(F.transform(F.filter("_blocks", lambda b: ~b.dense), lambda b: b.words)))
+    plain = F.array_distinct(F.flatten(F.transform(F.filter("_blocks", lambda b: ~b.dense), lambda b: F.concat(b.words, b.pairs))))
     others = _held(pages.select("_host", "_row", F.explode(plain).alias("_phrase")), listed.select("_phrase"), small).select("_host", "_phrase")
     others = by_host(others).withColumnRenamed("_hosts", "_others")
-    bait = F.coalesce("_others", F.lit(0)) <= F.col("_hosts")
+    times = F.when(F.col("_phrase").bitwiseAND(1) == 1, PAIR_TIMES).otherwise(1)
+    bait = F.coalesce("_others", F.lit(0)) * times <= F.col("_hosts")
     listed = settle(listed.join(others, "_phrase", "left").select("_phrase", bait.alias("_bait")), "bait")
     who = [key, "_row", "_total"]
     blocks = pages.select(*who, F.posexplode("_blocks").alias("_at", "b"))
-    words = blocks.select(*who, "_at", "b.size", "b.dense", F.size("b.words").alias("_n"), F.explode("b.words").alias("_phrase"))
+    words = blocks.select(*who, "_at", "b.size", "b.dense", F.size("b.words").alias("_n"), F.posexplode(F.concat("b.words", "b.pairs")).alias("_unit", "_phrase"))
     runs = pages.select(*who, F.posexplode("_runs").alias("_at", "b"))
     lines = runs.select(*who, "_at", "b.size", F.lit(False).alias("dense"), F.size("b.units").alias("_n"), F.posexplode("b.units").alias("_unit", "_p"))
     lines = lines.select(*[c for c in lines.columns if c != "_p"], F.explode("_p").alias("_phrase"))
+    covered = F.when(F.col("_unit") < F.col("_n"), F.array("_unit")).otherwise(F.array(F.col("_unit") - F.col("_n"), F.col("_unit") - F.col("_n") + 1))
 
-    def counted(units: DataFrame, share: float, hits: Column) -> DataFrame:
-        held = _held(units, listed, small).filter("dense or _bait").groupBy(*who, "_at", "size", "dense", "_n").agg(hits.alias("_hit"))
+    def counted(units: DataFrame, share: float, within: Column) -> DataFrame:
+        held = _held(units, listed, small).filter("dense or _bait").withColumn("_unit", F.explode(within))
+        held = held.groupBy(*who, "_at", "size", "dense", "_n").agg(F.count_distinct("_unit").alias("_hit"))
         return held.filter(F.col("_hit") >= F.when(F.col("dense"), DENSE_SHARE).otherwise(share) * F.col("_n"))
 
-    held = counted(words, BAIT_SHARE, F.count("*")).unionByName(counted(lines, RUN_SHARE, F.count_distinct("_unit"))).groupBy(*who).agg(F.sum("size").alias("_held"))
+    held = counted(words, BAIT_SHARE, covered).unionByName(counted(lines, RUN_SHARE, F.array("_unit"))).groupBy(*who).agg(F.sum("size").alias("_held"))
     return held.filter(F.col("_held") * 2 > F.col("_total")).select(key).distinct()

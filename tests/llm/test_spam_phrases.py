@@ -64,3 +64,17 @@ def test_links_and_tags_of_known_lists(spark):
     own = "\n".join(f"https://shelf.example/b{k}" for k in range(8))
     df = spark.createDataFrame([("l", links, f"h{k}") for k in range(3)] + [("t", tags, "h9"), ("o", own, "h8")], "doc_id string, text string, host string")
     assert {r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text", F.col("host")).collect()} == {"l", "o"}
+
+
+def test_phrases_of_ordinary_words(spark):
+    """Phrases that lists of several hosts hold decide although each of their words is common outside lists."""
+    words = "green river stone table winter garden letter bridge"
+    phrases = ["green table", "river garden", "stone letter", "winter bridge"]
+    rows = [(f"list {h}", ", ".join([*phrases[h:], *phrases[:h]] * 2), f"h{h}") for h in range(4)]
+    real = [f"The {w} was {v} and nobody had seen a {w} of that kind before the year was over." for w in words.split() for v in ("old", "new")]
+    rows += [(f"real {h}", " ".join(real[h % 3 :]), f"r{h}") for h in range(9)]
+    rows.append(("bait", "Everybody who wants a green table today takes our green table or river garden. The stone letter of our winter bridge is a river garden for you.", "b"))
+    rows.append(("words", "Everybody who wants a table today takes our green letter or garden. The river of our stone bridge is in winter a table for you.", "c"))
+    df = spark.createDataFrame(rows, "doc_id string, text string, host string")
+    got = {r.doc_id for r in spam.stuffed_pages(df, "doc_id", "text", F.col("host")).collect()}
+    assert got == {"bait", *(f"list {h}" for h in range(4))}
