@@ -212,19 +212,26 @@ class _Pass:
         yield pa.RecordBatch.from_arrays([pa.array(accepted, pa.int64())], names=["rec_no"])
 
 
+def _passed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(rec_no) of the rows that one task accepts, passing through them in order."""
+    none = F.lit(None).cast("bigint")
+    order = [F.col(f"ord.{c}").alias(f"_{c}") for c in ("last", "b", "late", "t")]
+    all_rows = rows.select("rec_no", "id", "h", none.alias("g"), *order)
+    pairs = links.select(none.alias("rec_no"), F.lit(None).cast("string").alias("id"), "h", "g", *[F.lit(None).cast(k).alias(c) for c, k in all_rows.dtypes[4:]])
+    return all_rows.unionByName(pairs).coalesce(1).mapInArrow(_Pass(), "rec_no bigint")
+
+
 def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(rec_no) of the rows a pass in order accepts: no accepted row has their id, text or a linked text.
 
-    A batch of at most ONE_TASK rows and links is passed through by one task. A larger one is
-    decided in rounds by all tasks, with the same result: in each round a row is accepted if it comes first among the open rows of its id, of its
+    At most ONE_TASK rows and links are passed through by one task. Of more, rows that nothing
+    in the batch bears on are accepted at once; if the others are still too many, they are
+    decided in rounds by all tasks until one task can do, with the same result: in each round a row is accepted if it comes first among the open rows of its id, of its
     text and of all linked texts; rows an accepted one excludes are closed.
     """
-    if rows.count() + links.count() <= ONE_TASK:
-        none = F.lit(None).cast("bigint")
-        order = [F.col(f"ord.{c}").alias(f"_{c}") for c in ("last", "b", "late", "t")]
-        all_rows = rows.select("rec_no", "id", "h", none.alias("g"), *order)
-        pairs = links.select(none.alias("rec_no"), F.lit(None).cast("string").alias("id"), "h", "g", *[F.lit(None).cast(k).alias(c) for c, k in all_rows.dtypes[4:]])
-        return all_rows.unionByName(pairs).coalesce(1).mapInArrow(_Pass(), "rec_no bigint")
+    n_links = links.count()
+    if rows.count() + n_links <= ONE_TASK:
+        return _passed(rows, links)
     both = settle(links.unionByName(links.select(F.col("g").alias("h"), F.col("h").alias("g"))).distinct(), "both-ways")
     repeated = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).filter("_n > 1").select(c, F.lit(True).alias(f"_{c}"))
     linked = both.select("h").distinct().withColumn("_l", F.lit(True))
@@ -233,6 +240,8 @@ def _in_order(rows: DataFrame, links: DataFrame) -> DataFrame:
     accepted = rows.filter("NOT _bound").select("rec_no")  # nothing in the batch bears on these
     rows = rows.filter("_bound").drop("_bound")
     while True:
+        if rows.count() + n_links <= ONE_TASK:
+            return accepted.unionByName(_passed(rows, links))
         ids = rows.filter("id is not null").groupBy("id").agg(F.min("ord").alias("_id"))
         texts = rows.filter("h is not null").groupBy("h").agg(F.min("ord").alias("_h"))
         linked = both.join(texts.select(F.col("h").alias("g"), "_h"), "g").groupBy("h").agg(F.min("_h").alias("_g"))

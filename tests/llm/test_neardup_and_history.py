@@ -131,3 +131,18 @@ def test_a_batch_reads_by_key(spark, tmp_path, monkeypatch):
         want = keyed.np.array(sorted(k for k in (j * 1_000_003 + 17 for j in range(6)) if k % 4 == 1))
         read[n] = sum(1 for _ in keyed._groups(folder, want, "k", ["k"]))
     assert 0 < read[8] <= read[1] + 1
+
+
+def test_a_large_batch_needs_rounds_only_for_bound_rows(spark, monkeypatch):
+    """One task decides what is left once the rows that nothing in the batch bears on are accepted."""
+    rows = [(k, f"i{k}", 100 + k, (False, 1, False, k)) for k in range(40)] + [(40, "i3", 200, (False, 1, True, 0)), (41, None, 105, (False, 1, True, 0))]
+    df = spark.createDataFrame(rows, "rec_no bigint, id string, h bigint, ord struct<last: boolean, b: int, late: boolean, t: bigint>")
+    df = df.withColumn("ord", F.struct("ord.*", "rec_no"))
+    links = spark.createDataFrame([(106, 107), (107, 108)], "h bigint, g bigint")
+    names, settle = [], history.settle
+    monkeypatch.setattr(history, "settle", lambda x, name: names.append(name) or settle(x, name))
+    for most in (0, 12, 1000):
+        names.clear()
+        monkeypatch.setattr(history, "ONE_TASK", most)
+        assert sorted(r.rec_no for r in history._in_order(df, links).collect()) == [k for k in range(40) if k != 7]
+        assert ("decided" in names) == (most == 0)
